@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_byte_bpe
 from .langid import op10_language_id
+from .ngram_join import op7_ngram_join
 from .token_counts import op2_token_counts
 from .topk import OP5_SQL, op5_exact_topk
 from .toxicity import op1_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_exact_topk": op5_exact_topk,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op8_vector_dedup": op8_vector_dedup,
     "op10_language_id": op10_language_id,
 }
