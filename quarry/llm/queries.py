@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_byte_bpe
 from .langid import op10_language_id
 from .ngram_join import op7_ngram_join
+from .secrets import op4_secret_scan
 from .token_counts import op2_token_counts
 from .topk import OP5_SQL, op5_exact_topk
 from .toxicity import op1_toxicity
@@ -13,6 +14,7 @@ from .vector_dedup import OP8_SQL, op8_vector_dedup
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ngram_join": op7_ngram_join,
