@@ -110,13 +110,13 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     counts = rows.dropna().mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # 2**BITS + 1 cells at most
-    found = by_lang.limit(MAX_LANGUAGES + 1).toPandas().sort_values("lang")
+    found = by_lang.limit(MAX_LANGUAGES + 1).toArrow().to_pandas().sort_values("lang")
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     languages = found["lang"].tolist()
     dense = np.zeros(((1 << BITS) + 1, len(languages)))
     for i, cells in enumerate(found["cells"]):
-        pairs = np.array([tuple(c) for c in cells], np.int64)
+        pairs = np.array([(c["bucket"], c["n"]) for c in cells], np.int64)
         dense[pairs[:, 0], i] = pairs[:, 1]
     docs = dense[-1].copy()
     dense[-1] = 0

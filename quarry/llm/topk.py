@@ -75,7 +75,7 @@ def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, vec_
     out = []
     last = None
     while True:
-        group = (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(GROUP_QUERIES).toPandas()
+        group = (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(GROUP_QUERIES).toArrow().to_pandas()
         if group.empty:
             break
         last = int(group["vec_id"].iloc[-1])
@@ -95,7 +95,7 @@ def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, vec_
 
         top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         seen = rows.mapInPandas(gather, schema)
-        safe = seen.withColumn("n", F.row_number().over(top)).where(F.col("n") == k).select("query_id", "score").toPandas()  # one a query of the group
+        safe = seen.withColumn("n", F.row_number().over(top)).where(F.col("n") == k).select("query_id", "score").toArrow().to_pandas()  # one a query of the group
         cutoff = dict(zip(safe["query_id"], safe["score"], strict=True))
         second = spark.sparkContext.broadcast({dim: (ids, m, np.array([cutoff.get(i, -np.inf) for i in ids])) for dim, (ids, m, _) in blocks.items()})
 

@@ -164,7 +164,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_i
     # entries: distinct vectors of a label, named by their smallest id; -0.0 and 0.0 are the same component
     same = F.transform("vector", lambda x: (x + F.lit(0.0)).cast(kind[6:-1]))
     entries = cut(rows.where("can").groupBy("label", same.alias("vector")).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
-    chosen = entries.orderBy(F.xxhash64("vector"), "node").limit(PIVOTS).select("vector").toPandas()["vector"].tolist()
+    chosen = entries.orderBy(F.xxhash64("vector"), "node").limit(PIVOTS).select("vector").toArrow().to_pandas()["vector"].tolist()
     pivots = np.empty(len(chosen), object)
     pivots[:] = [_unit(np.asarray(v, np.float64)[None])[0] for v in chosen]
     index = cut(entries.mapInPandas(_describe(pivots), "label string, dim int, key long, node long, mask long, n long"))
