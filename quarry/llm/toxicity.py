@@ -15,14 +15,17 @@ by word, the part of the differences beyond MARGIN by square root of the words,
 that part. It is fitted on training rows that the other half of the training rows scored.
 
 Defined results: null and empty texts get the score of a text without evidence; null labels and
-null texts teach nothing; with only one class to learn from every score is 0.0. Repeated ids in the
+null texts teach nothing; where either half of the training rows lacks a class,
+every score is 0.0. Repeated ids in the
 labels count once for each label row; repeated documents are scored each.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import cut, fold, held_out, table
+from .common import cut, fold, held_out, likely_members, table
 
-BITS = 20
+BITS = 19
 #: Bytes of a word at the end of each step; 0: the whole word.
 STEPS = (2, 4, 6, 8, 0)
 DISCOUNT = 0.75
@@ -84,32 +87,43 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys, "n": n})
 
 
-@dataclass
-class Counts:
-    """Dense counts: ``seen[half, class, step]`` by bucket, and the distinct continuations of each bucket."""
+#: What a byte stands for in the broadcast tables: counts below 64 exactly, larger ones within 5 percent.
+_COUNT = np.r_[np.arange(64.0), 64 * np.exp(np.arange(192) / 12)]
 
-    seen: np.ndarray
-    kinds: np.ndarray
-    total: np.ndarray
 
-    def half(self, h: int) -> Tables:
-        return Tables(self.seen[h], self.kinds[h], self.total[h])
+def _pack(counts: np.ndarray) -> bytes:
+    large = 64 + np.round(12 * np.log(np.maximum(counts, 64) / 64))
+    return zlib.compress(np.where(counts < 64, counts, np.minimum(large, 255)).astype(np.uint8).tobytes(), 1)
 
 
 @dataclass
 class Tables:
-    seen: np.ndarray  # (class, step, bucket)
-    kinds: np.ndarray  # (class, step, bucket): continuations of what the step before left; step 0 has one context
+    """Counts of documents by class, step and bucket, a byte each and compressed: what workers get."""
+
+    packed_seen: bytes
+    packed_kinds: bytes  # by the bucket of the step before: its distinct continuations; step 0 has one context
     total: np.ndarray  # (class,)
 
+    @classmethod
+    def of(cls, seen: np.ndarray, kinds: np.ndarray) -> Tables:
+        return cls(_pack(seen), _pack(kinds), seen[:, 0].sum(axis=1, dtype=np.float64))
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.packed_seen), np.uint8).reshape(2, len(STEPS), -1)
+
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.packed_kinds), np.uint8).reshape(2, len(STEPS), -1)
+
     def ratios(self, steps: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each word, toxic over ordinary."""
         out = np.zeros(len(steps))
         for k in range(len(STEPS)):
             now, before = steps[:, k], steps[:, k - 1] if k else None
-            n = [self.seen[c, k][now] for c in (0, 1)]
-            of = [np.full(len(now), self.total[c]) if k == 0 else self.seen[c, k - 1][before] for c in (0, 1)]
-            kinds = [np.full(len(now), self.kinds[c, 0, 0]) if k == 0 else self.kinds[c, k][before] for c in (0, 1)]
+            n = [_COUNT[self.seen[c, k][now]] for c in (0, 1)]
+            of = [self.total[c] if k == 0 else _COUNT[self.seen[c, k - 1][before]] for c in (0, 1)]
+            kinds = [_COUNT[self.kinds[c, 0, 0]] if k == 0 else _COUNT[self.kinds[c, k][before]] for c in (0, 1)]
             shared = (n[0] + n[1] + 0.5) / (of[0] + of[1] + 1.0)
             p = [(np.maximum(n[c] - DISCOUNT, 0) + (DISCOUNT * kinds[c] + SHARED) * shared) / (of[c] + SHARED) for c in (0, 1)]
             out += np.log(p[1]) - np.log(p[0])
@@ -156,8 +170,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, scale
 
 
-def count(rows: DataFrame) -> Counts:
-    """Tables over all of ``rows`` (text, toxic, half)."""
+def count(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, kinds) over all of ``rows`` (text, toxic, half), each by half, class, step and bucket."""
     sides = rows.select("text", (F.col("half") * 2 + F.col("toxic")).alias("side"))
     mask = (1 << BITS) - 1
     counted = sides.mapInPandas(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -175,21 +189,20 @@ def count(rows: DataFrame) -> Counts:
     for k in range(len(STEPS)):  # at most 4 * 2**BITS rows each
         for column, value, into in (("now", F.sum("n"), seen), ("before", F.count("*"), kinds)):
             sums = cells.where(F.col("step") == k).groupBy(F.shiftleft("side", BITS).bitwiseOR(F.col(column)).alias("at"))
-            got = sums.agg(value.cast("float").alias("n")).toPandas()
+            got = sums.agg(value.cast("float").alias("n")).toArrow().to_pandas()
             flat = np.zeros(4 << BITS, np.float32)
             flat[got["at"].to_numpy()] = got["n"].to_numpy()
             into[:, k] = flat.reshape(4, -1)
-    seen, kinds = seen.reshape(2, 2, len(STEPS), -1), kinds.reshape(2, 2, len(STEPS), -1)
-    return Counts(seen, kinds, seen[:, :, 0].sum(axis=2))
+    return tuple(x.reshape(2, 2, len(STEPS), -1) for x in (seen, kinds))
 
 
 def train(rows: DataFrame) -> Model:
     """``rows``: doc_id, text, toxic (0/1), half (0/1). Rows with nulls teach nothing."""
     rows = cut(rows.where(F.col("toxic").isin(0, 1)).dropna())
-    counts = count(rows)
-    if not (counts.total.sum(axis=0) > 0).all():
+    seen, kinds = count(rows)
+    if not seen[:, :, 0].any(axis=2).all():
         return Model(None, np.zeros(4), np.ones(3))
-    shared = rows.sparkSession.sparkContext.broadcast([counts.half(1), counts.half(0)])
+    shared = rows.sparkSession.sparkContext.broadcast([Tables.of(seen[1 - h], kinds[1 - h]) for h in (0, 1)])
 
     @F.pandas_udf("a double, b double, c double")
     def other_half(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -201,10 +214,10 @@ def train(rows: DataFrame) -> Model:
             yield pd.DataFrame(out, columns=["a", "b", "c"])
 
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS) if rows.count() > CALIBRATION_ROWS else rows
-    got = chosen.select("toxic", other_half("text", "half").alias("f")).select("toxic", "f.*").toPandas()
+    got = chosen.select("toxic", other_half("text", "half").alias("f")).select("toxic", "f.*").toArrow().to_pandas()
     weights, scale = _logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float))
     shared.unpersist()
-    return Model(Tables(counts.seen.sum(axis=0), counts.kinds.max(axis=0), counts.total.sum(axis=0)), weights, scale)
+    return Model(Tables.of(seen.sum(axis=0), kinds.max(axis=0)), weights, scale)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -223,7 +236,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id")
+    rows = likely_members(docs.where(~held_out()).select("doc_id", "text"), labels, "doc_id").join(labels.hint("merge"), "doc_id")
     model = train(rows.withColumn("half", F.when(fold() == 0, 0).otherwise(1)))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
