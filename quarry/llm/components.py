@@ -20,14 +20,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before it is combined.
     """
     pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col("hi") != F.col("lo")).distinct()
-    pairs = cut(pairs)
+    before = None
     while True:
         large = _star(pairs.union(pairs.select("lo", "hi")).toDF("node", "other"), larger=True)
-        small = cut(_star(large.toDF("node", "other"), larger=False))
-        changed = small.exceptAll(pairs).limit(1).count() + (small.count() != pairs.count())
-        pairs = small
-        if not changed:
+        pairs = cut(_star(large.toDF("node", "other"), larger=False))
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+        if now == before or not now[0]:
             break
+        before = now
     leaves = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return leaves.union(pairs.select("lo", "lo").distinct().toDF("node", "component"))
 

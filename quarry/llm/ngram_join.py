@@ -17,7 +17,8 @@ f - o + K. These are dealt into K - 1 groups by hash, so two common ones fall in
 the index gets every pair of shingles of a group. A pair of frequent shingles is far rarer than
 either, which keeps the lists of passages that many documents quote out of the way.
 
-Lists with the same members are one list. Round 1 verifies each member against the smallest of its
+Lists with the same members are one list. A bitmap of the shingles bounds the symmetric difference of
+two sets from below, which rules most pairs out before their sets are fetched. Round 1 verifies each member against the smallest of its
 list; round 2 verifies the pairs of a list that are in different components after round 1 and whose
 sizes allow a link. A crowd of near copies is so linked by its stars without forming its pairs.
 Verification is exact, on the whole sets, as a JVM-side array intersection.
@@ -33,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import cut, table
+from .common import cut, likely_members, table
 from .components import components
 
 WORDS = 5
@@ -45,8 +46,8 @@ WORDS = 5
 FREQUENT = 16
 #: log2 of the bits of the bitmap of frequent shingles.
 BITMAP_BITS = 23
-#: Texts whose shingles a worker holds at once, in bytes.
-_ORDER = np.uint64(1 << 63)
+#: Bits of the bitmap that stands for a set where a pair is first judged: a power of two, this times the set's size or up to twice that.
+SKETCH_BITS = 4
 
 
 def _word_hashes(texts) -> Iterator[tuple[int, np.ndarray]]:
@@ -111,7 +112,7 @@ def frequent_bitmap(docs: DataFrame) -> np.ndarray:
     counts = docs.mapInPandas(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     bucket = F.shiftrightunsigned("token", 64 - BITMAP_BITS)
     words = counts.groupBy(F.shiftright(bucket, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow().to_pandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return bitmap
@@ -155,33 +156,40 @@ def index_keys(s: np.ndarray, bitmap: np.ndarray, percent: int) -> np.ndarray:
 
 def _postings(bitmap, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes, seen, held = [], [], [], set(), 0
+            keys, nodes, held = [], [], 0
             for s, mark in _sets(batch["text"]):
                 if len(s) and mark not in seen:
                     seen.add(mark)
                     keys.append(index_keys(s, bitmap.value, percent))
                     nodes.append(mark)
-                    sizes.append(len(s))
                     held += len(keys[-1])
                     if held > 1 << 20:
-                        yield _posting_rows(keys, nodes, sizes)
-                        keys, nodes, sizes, held = [], [], [], 0
+                        yield _posting_rows(keys, nodes)
+                        keys, nodes, held = [], [], 0
             if keys:
-                yield _posting_rows(keys, nodes, sizes)
+                yield _posting_rows(keys, nodes)
 
     return run
 
 
-def _posting_rows(keys, nodes, sizes) -> pd.DataFrame:
-    n = [len(k) for k in keys]
-    return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), n), "size": np.repeat(np.array(sizes, np.int32), n)})
+def _posting_rows(keys, nodes) -> pd.DataFrame:
+    return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])})
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        got = [(len(s), mark) for s, mark in _sets(batch["text"])]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": np.array([g[0] for g in got], np.int64), "node": np.array([g[1] for g in got], np.int64)})
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A bitmap as 64-bit words; that of half the length is the union of its halves."""
+    size = max(64, 1 << int(np.ceil(np.log2(max(SKETCH_BITS * len(s), 1)))))
+    bits = np.zeros(size, bool)
+    bits[(s >> np.uint64(20)).astype(np.int64) & (size - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        got = [(len(s), mark, _sketch(s)) for s, mark in _sets(texts)]
+        yield pd.DataFrame(got, columns=["n_shingles", "node", "sketch"])
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,58 +199,76 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": np.array([g[1] for g in got], np.int64), "tokens": [g[0].view(np.int64) for g in got]})
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("ta") + F.size("tb") - F.col("shared"))).select("a", "b")
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """What sizes and sketches do not rule out, for the sides named ``x`` and ``y``.
+
+    Each bit that only one sketch has stands for a shingle that only one set has, and a link allows at
+    most (1 - t) / (1 + t) of both sizes together of these.
+    """
+    n_x, n_y, s_x, s_y = (F.col(f"{side}.{c}") for c in ("n_shingles", "sketch") for side in (x, y))
+    width = F.least(F.size(s_x), F.size(s_y))
+    # sizes that allow a link differ by less than 2, so one folding suffices
+    fold = lambda s: F.when(F.size(s) == width, s).otherwise(F.zip_with(F.slice(s, F.lit(1), width), F.slice(s, width + 1, width), lambda p, q: p.bitwiseOR(q)))
+    apart = F.aggregate(F.zip_with(fold(s_x), fold(s_y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+    sizes = 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
+    return F.when(sizes, (100 + percent) * apart <= (100 - percent) * (n_x + n_y)).otherwise(False)
 
 
-def _can_link(x: Column, y: Column, percent: int) -> Column:
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    both = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+    return both.where(_may_link("x", "y", percent)).select("a", "b")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; each set is made again from one document that holds it."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = nodes.join(wanted, "node").select(F.col("doc").alias("doc_id"))
+    chosen = likely_members(rows, ids, "doc_id").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
+    sets = chosen.mapInPandas(_full_sets, "node long, tokens array<long>")  # one exchange serves both joins
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
+    return cut(both.where(100 * F.col("shared") >= percent * (F.size("t_a") + F.size("t_b") - F.col("shared"))).select("a", "b").distinct())
 
 
 def link_components(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = rows.select("text")
-    members = cut(rows.mapInPandas(_members, "doc_id long, n_shingles long, node long"))
+    described = F.pandas_udf(_described, "n_shingles long, node long, sketch array<long>")
+    members = cut(rows.select("doc_id", described("text").alias("m")).select("doc_id", "m.*"))
+    worded = members.where("n_shingles > 0")
+    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts))
-    # postings of one key: those of equal sets fall together before the shuffle
-    postings = texts.mapInPandas(_postings(bitmap, percent), "key long, node long, size int")
-    postings = postings.groupBy("key", "node").agg(F.first("size").alias("size"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("sig"))
-    lists = lists.where(F.col("count") > 1).select("key", "least", F.xxhash64("sig", "count", "least").alias("list"))
-    candidates = cut(postings.join(lists, "key").groupBy("list", "node").agg(F.first("size").alias("size"), F.first("least").alias("least")))
-    named = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    stars = candidates.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = candidates.select("node").distinct()
-    sets = _wanted_sets(rows, named, wanted)
-    linked = cut(_similar(stars, sets, percent))
+    postings = texts.mapInPandas(_postings(bitmap, percent), "key long, node long")
+    w = Window.partitionBy("key")
+    # lists with the same members, as far as their hash tells, become one
+    part = F.shiftright(F.xxhash64("node"), 32)
+    lists = postings.select("node", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"), F.xxhash64(F.sum(part).over(w), F.count("*").over(w)).alias("sig"))
+    shared = lists.where("least <> most").select(F.xxhash64("sig", "least", "most").alias("list"), "node", "least")
+    candidates = cut(shared.distinct())
+    stars = candidates.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    linked = _similar(_likely(stars, nodes, percent), rows, nodes, percent)
     groups = components(linked)
-    grouped = candidates.join(groups, "node", "left").select("list", "node", "size", "least", F.coalesce("component", "node").alias("component"))
-    open_lists = grouped.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list")
-    left = cut(grouped.join(open_lists, "list").where(F.col("node") != F.col("least")))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, F.expr("x.list = y.list and x.component < y.component")).where(_can_link(F.col("x.size"), F.col("y.size"), percent))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = cut(_similar(pairs, sets, percent))
+    grouped = candidates.join(groups, "node", "left").select("list", "node", "least", F.coalesce("component", "node").alias("component"))
+    open_lists = grouped.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("list")
+    left = grouped.join(open_lists, "list").where("node <> least").select("list", "node", "component")
+    # a pair is judged in the first of the lists that it shares; a node stands in as many as its prefix has keys
+    own = left.groupBy("node").agg(F.collect_list("list").alias("lists"))
+    left = left.join(own, "node").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    apart = F.expr("x.list = y.list and x.component < y.component") & _may_link("x", "y", percent)
+    once = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.list")
+    pairs = left.alias("x").join(left.alias("y"), apart & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    more = _similar(pairs, rows, nodes, percent)
     if not more.isEmpty():
         groups = components(linked.union(more))
-    named = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_node = named.join(smallest, "component").select("node", "component_id")
-    out = members.where("n_shingles > 0").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
+    out = worded.join(by_node, "node").select("doc_id", "n_shingles", "component_id")
     return out.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _wanted_sets(rows: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the candidates' sets, each made again from one document that holds it."""
-    ids = named.join(wanted, "node").select(F.col("doc").alias("doc_id"))
-    chosen = rows.join(ids, "doc_id", "left_semi").select("text")
-    return cut(chosen.mapInPandas(_full_sets, "node long, tokens array<long>").dropDuplicates(["node"]))
-
-
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
