@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the group; of repeated ids the longest text, once."""
+    """One document of each group stays: the one whose id names the group. Rows that share an id stay or go together."""
     ship(spark)
     groups = ngram_join.link_components(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()

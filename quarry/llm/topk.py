@@ -18,7 +18,8 @@ raises OverflowError.
 
 Defined results: null vectors and those with null or non-finite components neither ask nor answer;
 vectors are compared only with those of the same length; a query's own row (by id) is no candidate;
-repeated ids are separate rows, each a candidate, of which the result may hold several; no queries or
+repeated ids are separate rows, each a candidate, of which the result may hold several, and ask once, with
+the smallest of their vectors; no queries or
 candidates give no rows.
 """
 
@@ -69,7 +70,7 @@ def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, vec_
     spark = df.sparkSession
     whole = lambda x: F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("double"))
     rows = prepare(df, vec_id, vector).withColumn("vector", whole(F.col("vector")))
-    asked = prepare(queries, vec_id, vector).withColumn("vector", whole(F.col("vector"))).dropDuplicates(["vec_id"])
+    asked = prepare(queries, vec_id, vector).withColumn("vector", whole(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     schema = "query_id long, vec_id long, score double"
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = []
