@@ -4,7 +4,7 @@ The tokens of a document are its distinct 5-word shingles, as 64-bit hashes. Doc
 set are one node, named by a 64-bit fingerprint of the set; everything below is between nodes.
 
 Classes: a shingle is *frequent* if its bucket of a bitmap of fixed size is set. The bitmap comes from
-counts over all documents: each partition adds up what occurs at least twice in it, and the sums of
+counts over all documents: each run of documents adds up what occurs at least twice in it, and the sums of
 at least FREQUENT set bits. Which shingles count as frequent only steers the work; any fixed order of
 all shingles gives the same links. Here rare ones come first, then frequent ones, each by hash.
 
@@ -42,8 +42,10 @@ from .common import cut, likely_members, table
 from .components import components
 
 WORDS = 5
-#: Documents that hold a shingle, as counted within partitions, from which it is frequent.
+#: Documents that hold a shingle, as counted within runs, from which it is frequent.
 FREQUENT = 16
+#: Shingles that a worker holds while it looks for repeated ones.
+RUN_TOKENS = 1 << 21
 #: log2 of the bits of the bitmap of frequent shingles.
 BITMAP_BITS = 23
 #: Bits of the bitmap that stands for a set where a pair is first judged: a power of two, this times the set's size or up to twice that.
@@ -96,15 +98,24 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles that at least two distinct sets of a batch hold, with their number."""
+    """Shingles that at least two distinct sets hold, with their number, by runs of about RUN_TOKENS shingles."""
+    distinct, held = {}, 0
     for batch in batches:
-        distinct = {}
         for s, mark in _sets(batch["text"]):
-            distinct.setdefault(mark, s)
-        if distinct:
-            tokens, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-            more = n > 1
-            yield pd.DataFrame({"token": tokens[more].view(np.int64), "n": n[more].astype(np.int64)})
+            if mark not in distinct:
+                distinct[mark] = s
+                held += len(s)
+            if held >= RUN_TOKENS:
+                yield _counted(distinct)
+                distinct, held = {}, 0
+    if distinct:
+        yield _counted(distinct)
+
+
+def _counted(sets: dict[int, np.ndarray]) -> pd.DataFrame:
+    tokens, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    more = n > 1
+    return pd.DataFrame({"token": tokens[more].view(np.int64), "n": n[more].astype(np.int64)})
 
 
 def frequent_bitmap(docs: DataFrame) -> np.ndarray:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import regex
 
 #: Entries at which a worker's table of pre-tokens is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Characters whose pre-tokens are looked up together.
 BLOCK_CHARS = 1 << 20
 
