@@ -159,6 +159,15 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_in_long_lines(spark):
+    rng = random.Random(8)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(32_000))[:200_000]
+    names = sorted(licenses.TEMPLATES)
+    texts = [f"{prose[: k * 20_000]} {licenses.TEMPLATES[n]} {prose[k * 20_000 :]}" for k, n in enumerate(names)]
+    rows = licenses.scan(_docs(spark, texts)).collect()
+    assert {(r.doc_id, r.license) for r in rows} == set(enumerate(names)) and all(r.bytes_saved > 0 for r in rows)
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(["über", "schön", "der"] if i % 4 == 0 else ["the", "and", "of"], k=20)), "de" if i % 4 == 0 else "en", "s") for i in range(120)]
