@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-A candidate block is a run of words of a line of any length that holds enough of a template in order. The words
+A candidate block is a run of words that holds enough of a template in order, wherever it stands: lines of
+any length, notices wrapped over lines and behind comment markers, several in one line. The words
 around every anchor of a template are aligned with it, which finds each block with the fewest other words
 between. Anchors are chosen so that no block can lack one. A block is compressed with zstandard alone and
 with the template as a raw dictionary; the more a template says of what the block says, the more bytes
@@ -10,7 +11,7 @@ Words are runs of letters, or numbers without final zeros (2.0 is 2), in any cas
 a fifth of its template's words, and has at most three times their number of other words in between.
 
 Defined results: null and empty texts have no blocks; a block that no template explains gives no row;
-several licences in one text give a row each, those in one line the one that saves most. Ties in bytes saved go to the
+several licences in one text give a row each, as does the same one in several places. Ties in bytes saved go to the
 closer wording, then to the template that sorts first.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import operator
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property, reduce
 from itertools import islice
@@ -152,18 +154,18 @@ class Scanner:
             held = held[-self.overlap :]
 
     def text(self, text: str) -> Iterator[tuple[str, int, int, int, int, int]]:
-        at = 0
-        for line in text.split("\n"):
-            for name, start, end, *rest in islice(self._line(line), 1):
-                yield name, at + start, at + end, *rest
-            at += len(line) + 1
-
-    def _line(self, text: str) -> Iterator[tuple[str, int, int, int, int, int]]:
         found = []
         for k, start, end, missing, extra in set(self._blocks(text)):
             found.append((-self._saved(text[start:end], self.templates[k]), missing + extra, self.templates[k].name, start, end, missing, extra))
+        taken: list[tuple[int, int]] = []  # by start, without overlaps
+        kept = []
         for saved, _, name, start, end, missing, extra in sorted(found):
-            yield name, start, end, -saved, missing, extra
+            at = bisect_left(taken, (start, end))
+            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+                continue
+            taken.insert(at, (start, end))
+            kept.append((name, start, end, -saved, missing, extra))
+        yield from sorted(kept, key=lambda r: r[1])
 
     def may_have(self, text: Column) -> Column:
         """What every text with a block satisfies: a cheap test before any Python."""

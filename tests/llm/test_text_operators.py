@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -168,6 +169,22 @@ def test_licenses_in_long_lines(spark):
     assert {(r.doc_id, r.license) for r in rows} == set(enumerate(names)) and all(r.bytes_saved > 0 for r in rows)
 
 
+def test_licenses_over_lines_and_side_by_side(spark):
+    names = sorted(licenses.TEMPLATES)
+    marks = ("// ", " * ", "# ", "")
+    texts = ["int a;\n" + "\n".join(m + line for line in textwrap.wrap(licenses.TEMPLATES[n], 40)) + "\nint b;" for n in names for m in marks]
+    texts.append(" ".join(licenses.TEMPLATES[n] for n in ("MIT", "Apache-2.0", "MIT")))
+    got = sorted((r.doc_id, r.start, r.license) for r in licenses.scan(_docs(spark, texts)).collect())
+    assert [g[::2] for g in got[:-3]] == [(i * len(marks) + k, n) for i, n in enumerate(names) for k in range(len(marks))]
+    assert got[-3:] == [(40, 0, "MIT"), (40, 32, "Apache-2.0"), (40, 80, "MIT")]
+
+
+def test_licenses_over_chunks(monkeypatch):
+    monkeypatch.setattr(licenses, "CHUNK", 7)
+    text = " ".join(["word"] * 50 + list(licenses.TEMPLATES.values()) + ["word"] * 50)
+    assert [r[0] for r in licenses.Scanner(licenses.TEMPLATES).text(text)] == list(licenses.TEMPLATES)
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(["über", "schön", "der"] if i % 4 == 0 else ["the", "and", "of"], k=20)), "de" if i % 4 == 0 else "en", "s") for i in range(120)]
