@@ -8,7 +8,8 @@ with the template as a raw dictionary; the more a template says of what the bloc
 it saves, and of overlapping blocks the one that saves most stays.
 
 Words are runs of letters, or numbers without final zeros (2.0 is 2), in any case. A block lacks at most
-a fifth of its template's words, and has at most three times their number of other words in between.
+a fifth of its template's words, and has at most a quarter of their number, or 4, of other words in between. Words
+that name a licence (NAMING, and the numbers of a template that has any) must all agree.
 
 Defined results: null and empty texts have no blocks; a block that no template explains gives no row;
 several licences in one text give a row each, as does the same one in several places. Ties in bytes saved go to the
@@ -49,7 +50,12 @@ TEMPLATES = {
 COVERED = 0.8
 #: Other words that may stand between them: so many, or this share of the template's words.
 EXTRA = 4
-EXTRA_SHARE = 3.0
+EXTRA_SHARE = 0.25
+#: Words that tell licences apart: a block has all of its template's and no others. So do numbers, where a template has any.
+NAMING = frozenset(
+    "affero agpl alike apache artistic attribution boost bsd cc cddl cecill commercial commons creative derivatives derivs documentation eclipse epl eupl expat general "
+    "gnu gpl isc lesser lgpl mit mozilla mpl nc nd noncommercial noderivatives noderivs sa sharealike unlicense zlib".split()
+)
 #: Words of a text that are held at once.
 CHUNK = 1 << 16
 _WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
@@ -70,6 +76,7 @@ class Template:
         self.tail = text[found[-1].end() :]
         self.missing = int(len(self.words) - COVERED * len(self.words) + 1e-9)
         self.extra = max(EXTRA, int(EXTRA_SHARE * len(self.words)))
+        self.numbered = any(w[0].isdigit() for w in self.words)
         self.naming = sorted({w for w in self.words if self.names(w)})
         # a block lacks at most ``missing`` words, none of them naming: it has all of the latter, and one of any missing + 1 words
         by_length = sorted(set(self.words), key=lambda w: (-len(w), w))
@@ -79,7 +86,7 @@ class Template:
         self.primed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
     def names(self, word: str) -> bool:
-        return False
+        return word in NAMING or (self.numbered and word[0].isdigit())
 
     def blocks(self, words: list[str], hits: list[int]) -> Iterator[tuple[int, int, int, int]]:
         """(first word, last word, template words missing, other words between) of blocks that do not overlap, closest wording first."""

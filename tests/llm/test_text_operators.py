@@ -185,6 +185,27 @@ def test_licenses_over_chunks(monkeypatch):
     assert [r[0] for r in licenses.Scanner(licenses.TEMPLATES).text(text)] == list(licenses.TEMPLATES)
 
 
+def test_licenses_that_are_others(spark):
+    near = [
+        "licensed under the GNU General Public License, version 2",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+        "Released under the BSD License.",
+        "Released under the terms that were agreed upon between us, not the MIT License.",
+    ]
+    same = [("MIT", "Released under the MIT Licence."), ("MIT", "Released under the terms of the MIT License"), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.0")]
+    got = sorted((r.doc_id, r.license) for r in licenses.scan(_docs(spark, near + [t for _, t in same])).collect())
+    assert got == [(len(near) + k, n) for k, (n, _) in enumerate(same)]
+
+
+def test_every_template_is_compared():
+    many = {f"L{k:02}": f"Released under the Licence of house number {k} in this very street" for k in range(30)}
+    scanner = licenses.Scanner(many)
+    assert all([r[0] for r in scanner.text(t)] == [n] for n, t in many.items())
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(["über", "schön", "der"] if i % 4 == 0 else ["the", "and", "of"], k=20)), "de" if i % 4 == 0 else "en", "s") for i in range(120)]
