@@ -13,8 +13,10 @@ linked documents share a shingle among the first n - o + 1. If a document has mo
 ones, its prefix has only those, and each is indexed alone. Otherwise the prefix is all rare ones,
 each alone, and those frequent ones that a link without any common rare shingle must still share: of
 its f frequent shingles such a pair has o in common, so it shares at least K among the first
-f - o + K. These are dealt into K - 1 groups by hash, so two common ones fall into the same group, and
-the index gets every pair of shingles of a group. A pair of frequent shingles is far rarer than
+f - o + K. These are dealt into groups by hash, a power of two that depends on n only, and K is one more than
+the groups of the largest partner. So the first K common ones, which both prefixes have, put two into one group of
+the partner with more groups, which then are in one group of the other as well; the index gets every pair of
+shingles of a group. Sets too small for that (a single shingle) are indexed by each shingle. A pair of frequent shingles is far rarer than
 either, which keeps the lists of passages that many documents quote out of the way.
 
 Lists with the same members are one list. A bitmap of the shingles bounds the symmetric difference of
@@ -134,6 +136,20 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def groups_of(n: int) -> int:
+    """Groups of a set of n: a power of two, so that two in one group of many are in one group of fewer."""
+    return 1 << max(0, (n // 8).bit_length() - 1)
+
+
+def _met(n: int, percent: int) -> int:
+    """Common shingles that must be in the prefix of a set of n: one more than the groups of its largest partner."""
+    return groups_of(100 * n // percent) + 1
+
+
+def _alone(n: int, percent: int) -> bool:
+    return least_overlap(n, percent) < _met(n, percent)
+
+
 def index_keys(s: np.ndarray, bitmap: np.ndarray, percent: int) -> np.ndarray:
     """The keys under which a set is indexed."""
     at = _bucket(s)
@@ -143,20 +159,16 @@ def index_keys(s: np.ndarray, bitmap: np.ndarray, percent: int) -> np.ndarray:
     o = least_overlap(n, percent)
     if f < o:  # the prefix ends among the rare ones
         return rare[: n - o + 1]
-    spare = f - o
-    if f < 2 or o < 2:
-        return np.r_[rare, common[: spare + 1]]
-    groups = max(1, (spare + 1) // 4)
-    k = min(groups + 1, o)
-    if k < groups + 1:
-        groups = k - 1
-    first = common[: spare + k]
-    if groups < 1:
-        return np.r_[rare, first]
+    groups, k = groups_of(n), _met(n, percent)
+    # singles where the smallest partner has too few shingles in common for its groups
+    alone = common[: f - o + 1] if _alone(o, percent) or _alone(n, percent) else common[:0]
+    if _alone(n, percent):
+        return np.r_[rare, alone]
+    first = common[: f - o + k]
     group = first % np.uint64(groups)
     order = np.argsort(group, kind="stable")
     first, group = first[order], group[order]
-    keys = []
+    keys = [alone]
     for gap in range(1, len(first)):
         same = group[gap:] == group[:-gap]
         if not same.any():

@@ -66,6 +66,18 @@ def test_index_keys_meet():
         assert keys[0] & keys[1], trial
 
 
+def test_index_keys_of_other_sizes_meet():
+    """Sets of different sizes that share only frequent shingles, just at the threshold."""
+    rng = np.random.default_rng(7)
+    bitmap = np.full(1 << (ngram_join.BITMAP_BITS - 6), 2**64 - 1, np.uint64)
+    for trial, (n, m) in enumerate([(400, 301), (400, 389), (1000, 751), (23, 18), (2, 2), (4, 3), (1, 1)] * 400):
+        common = -(-75 * (n + m) // 175)
+        pool = rng.integers(0, 2**63, n + m - common).astype(np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:common], pool[n:]])
+        keys = [ngram_join.index_keys(s, bitmap, 75) for s in (a, b)]
+        assert len(np.intersect1d(*keys)), (trial, n, m)
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
