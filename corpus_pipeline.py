@@ -28,11 +28,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the group. Rows that share an id stay or go together."""
+    """One row of each group stays: the one with the smallest id, null ids last, and of rows that share it the first.
+
+    Rows are decided one by one, whatever their ids; those that link with nothing all stay.
+    """
     ship(spark)
-    groups = ngram_join.link_components(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    groups = ngram_join.link_components(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    kept = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

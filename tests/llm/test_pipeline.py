@@ -48,6 +48,18 @@ def test_stages(spark, folder, tmp_path):
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == kept.count()
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
+    text = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (7, text[1]), (5, text[2]), (5, text[2]), (5, text[3]), (4, text[3]), (None, text[4]), (None, text[4]), (9, text[5]), (9, None), (None, None), (None, "")]
+    spark.createDataFrame([(d, t, "en", f"row{i}", 1) for i, (d, t) in enumerate(rows)], DOCUMENTS).repartition(3).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted((r.text or "", r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    want = [(None, text[0]), (7, text[1]), (5, text[2]), (4, text[3]), (None, text[4]), (9, text[5]), (9, None), (None, None), (None, "")]
+    assert got == sorted((t or "", d is None, d or 0) for d, t in want)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
