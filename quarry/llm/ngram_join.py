@@ -5,7 +5,7 @@ set are one node, named by a 64-bit fingerprint of the set; everything below is
 
 Classes: a shingle is *frequent* if its bucket of a bitmap of fixed size is set. The bitmap comes from
 counts over all documents: each run of documents adds up what occurs at least twice in it, and the sums of
-at least FREQUENT set bits. Which shingles count as frequent only steers the work; any fixed order of
+at least FREQUENT set bits; over r runs in any mixed order that finds what more than about 4 sqrt(r) documents hold. Which shingles count as frequent only steers the work; any fixed order of
 all shingles gives the same links. Here rare ones come first, then frequent ones, each by hash.
 
 Prefixes: with n shingles, of which a partner of Jaccard t or more must share o = ceil(t n), two
@@ -19,15 +19,18 @@ the partner with more groups, which then are in one group of the other as well;
 shingles of a group. Sets too small for that (a single shingle) are indexed by each shingle. A pair of frequent shingles is far rarer than
 either, which keeps the lists of passages that many documents quote out of the way.
 
-Lists with the same members are one list. A bitmap of the shingles bounds the symmetric difference of
-two sets from below, which rules most pairs out before their sets are fetched. Round 1 verifies each member against the smallest of its
-list; round 2 verifies the pairs of a list that are in different components after round 1 and whose
-sizes allow a link. A crowd of near copies is so linked by its stars without forming its pairs.
-Verification is exact, on the whole sets, as a JVM-side array intersection.
+Groups: lists with the same members are one list, and the lists of one smallest node are one group, which
+has each of its nodes once however many keys they share. A sketch of a set holds the parity of each of its hashed
+buckets; two sketches differ in no more bits than the sets in members, which rules most pairs out before any set is
+fetched. Groups are compared in tiles of bounded size, in three rounds. The first takes, within each
+block of a group, a spanning forest of the closest pairs; the second does so between the components that this left; the
+third takes every pair between components that sizes and sketches allow. A crowd of near copies is
+so linked by a forest, without forming its pairs, and no link between components is lost.
+Verification is exact, on the whole sets of 64-bit shingle hashes, as a JVM-side array intersection.
 
 Defined results: null and empty texts, and those without words, have 0 shingles and link with nothing;
 a text of fewer than 5 words has its whole sequence as one shingle. Repeated rows link with each
-other. Null ids are rows of their own component null. Empty tables give no rows.
+other. Rows with null ids keep the component null and take no part in links. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -50,8 +53,12 @@ FREQUENT = 16
 RUN_TOKENS = 1 << 21
 #: log2 of the bits of the bitmap of frequent shingles.
 BITMAP_BITS = 23
-#: Bits of the bitmap that stands for a set where a pair is first judged: a power of two, this times the set's size or up to twice that.
-SKETCH_BITS = 4
+#: Bits of the sketch that stands for a set where a pair is first judged: a power of two, this times the set's size or up to twice that.
+SKETCH_BITS = 2
+#: Nodes of a block of a group; a tile compares two blocks at most.
+TILE = 512
+#: Words of sketches that are compared at once.
+PAIR_WORDS = 1 << 20
 
 
 def _word_hashes(texts) -> Iterator[tuple[int, np.ndarray]]:
@@ -202,11 +209,10 @@ def _posting_rows(keys, nodes) -> pd.DataFrame:
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
-    """A bitmap as 64-bit words; that of half the length is the union of its halves."""
+    """The parities of the set's hashed buckets, as 64-bit words; that of half the length is the exclusive or of its halves."""
     size = max(64, 1 << int(np.ceil(np.log2(max(SKETCH_BITS * len(s), 1)))))
-    bits = np.zeros(size, bool)
-    bits[(s >> np.uint64(20)).astype(np.int64) & (size - 1)] = True
-    return np.packbits(bits).view(np.int64)
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -222,31 +228,173 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": np.array([g[1] for g in got], np.int64), "tokens": [g[0].view(np.int64) for g in got]})
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """What sizes and sketches do not rule out, for the sides named ``x`` and ``y``.
+class _Sketches:
+    """Sketches of many rows in one buffer, by width and folded as needed."""
+
+    def __init__(self, sketches):
+        self.width = np.array([len(s) for s in sketches], np.int64)
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            place = np.empty(len(sketches), np.int64)
+            place[at] = np.arange(len(at))
+            self.rows[w] = np.stack([np.asarray(sketches[k], np.int64) for k in at]).view(np.uint64), place
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of each pair differ, the wider one folded: at most the sets' symmetric difference."""
+        out = np.zeros(len(i), np.int64)
+        low, high = np.minimum(self.width[i], self.width[j]), np.maximum(self.width[i], self.width[j])
+        for w, wide in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
+            at = np.flatnonzero((low == w) & (high == wide))
+            less = np.where(self.width[i[at]] <= self.width[j[at]], i[at], j[at])
+            more = i[at] + j[at] - less
+            (a, pa), (b, pb) = self.rows[w], self.rows[wide]
+            while b.shape[1] > w:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            step = max(1, PAIR_WORDS // w)
+            for lo in range(0, len(at), step):
+                of = slice(lo, lo + step)
+                out[at[of]] = np.bitwise_count(a[pa[less[of]]] ^ b[pb[more[of]]]).sum(axis=1)
+        return out
+
+
+def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the edges of a least spanning forest between the classes that ``label`` names."""
+    left = np.argsort(weight, kind="stable")
+    label = np.unique(label, return_inverse=True)[1]
+    taken = []
+    while True:
+        left = left[label[i[left]] != label[j[left]]]
+        if not len(left):
+            break
+        ends = np.stack([label[i[left]], label[j[left]]], axis=1)
+        # each class takes its first edge; edges have one strict order, so no cycle arises
+        first = np.unique(ends.ravel(), return_index=True)[1] // 2
+        chosen = np.unique(first)
+        taken.append(left[chosen])
+        low = np.arange(label.max() + 1)
+        a, b = ends[chosen].T
+        while True:
+            least = np.minimum(low[a], low[b])
+            after = low.copy()
+            np.minimum.at(after, a, least)
+            np.minimum.at(after, b, least)
+            after = after[after]
+            if (after == low).all():
+                break
+            low = after
+        label = low[label]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+def _tile_pairs(tiles: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
+    """Pairs of whole tiles that neither sizes nor sketches rule out, between components; with ``forest`` a spanning forest of the closest."""
+    tiles = tiles.sort_values(["tile", "n_shingles"], kind="stable").reset_index(drop=True)
+    tile = np.unique(tiles["tile"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    n, node, component, minor = (tiles[c].to_numpy() for c in ("n_shingles", "node", "component", "minor"))
+    far = np.int64(n.max() + 1) if len(n) else np.int64(1)
+    place = tile * far + n
+    most = np.minimum(100 * n // percent, far - 1)  # the largest partner, since rows of a tile come by size
+    after = np.searchsorted(place, tile * far + most, side="right") - np.arange(len(n)) - 1
+    sketches = _Sketches(tiles["sketch"].tolist())
+    found = []
+    ends = np.cumsum(after)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIR_WORDS, side="right")))
+        i = np.repeat(np.arange(lo, hi), after[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[lo:hi] - after[lo:hi] - (ends[lo - 1] if lo else 0), after[lo:hi])
+        ok = (component[i] != component[j]) & (minor[i] | minor[j])
+        i, j = i[ok], j[ok]
+        apart = sketches.apart(i, j)
+        ok = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+        found.append((i[ok], j[ok], apart[ok]))
+        lo = hi
+    i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    if forest and len(i):
+        classes = np.unique(np.stack([tile, component]), axis=1, return_inverse=True)[1].ravel()
+        best = _forest(i, j, apart / (n[i] + n[j]), classes)
+        i, j = i[best], j[best]
+    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+
+def _compared(percent: int, forest: bool):
+    """Over a partition whose rows come ordered by tile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            held.append(batch)
+            if sum(map(len, held)) < TILE:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            whole = int(np.searchsorted((rows["tile"] == rows["tile"].iloc[-1]).to_numpy(), True))  # the last tile may go on
+            if whole:
+                yield _tile_pairs(rows.iloc[:whole], percent, forest)
+            held = [rows.iloc[whole:]]
+        if held:
+            yield _tile_pairs(pd.concat(held, ignore_index=True), percent, forest)
+
+    return run
+
 
-    Each bit that only one sketch has stands for a shingle that only one set has, and a link allows at
-    most (1 - t) / (1 + t) of both sizes together of these.
+def _groups(postings: DataFrame) -> DataFrame:
+    """(group, node): every two nodes with a common key are in one group.
+
+    The lists of one smallest node are a group, unless that has more pairs than its lists have one by one.
     """
-    n_x, n_y, s_x, s_y = (F.col(f"{side}.{c}") for c in ("n_shingles", "sketch") for side in (x, y))
-    width = F.least(F.size(s_x), F.size(s_y))
-    # sizes that allow a link differ by less than 2, so one folding suffices
-    fold = lambda s: F.when(F.size(s) == width, s).otherwise(F.zip_with(F.slice(s, F.lit(1), width), F.slice(s, width + 1, width), lambda p, q: p.bitwiseOR(q)))
-    apart = F.aggregate(F.zip_with(fold(s_x), fold(s_y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
-    sizes = 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
-    return F.when(sizes, (100 + percent) * apart <= (100 - percent) * (n_x + n_y)).otherwise(False)
+    w = Window.partitionBy("key")
+    # lists with the same members, as far as their hash tells, become one
+    part = F.shiftright(F.xxhash64("node"), 32)
+    lists = postings.select("node", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"), F.xxhash64(F.sum(part).over(w), F.count("*").over(w)).alias("sig"))
+    shared = cut(lists.where("least <> most").select(F.xxhash64("sig", "least", "most").alias("list"), "node", "least").distinct())
+    one_by_one = shared.groupBy("least", "list").agg(F.count("*").cast("double").alias("n")).groupBy("least").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    stars = shared.select("least", "node").distinct()
+    wide = stars.groupBy("least").agg(F.count("*").cast("double").alias("n")).join(one_by_one, "least").where("n * n > pairs").select("least")
+    together = stars.join(wide, "least", "left_anti").select(F.xxhash64(F.lit(0), "least").alias("group"), "node")
+    return cut(together.union(shared.join(wide, "least", "left_semi").select(F.xxhash64(F.lit(1), "list"), "node")))
+
 
+def _candidates(rows: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs to verify, from ``rows`` (node, component, minor) of the tiles (group, part, other)."""
+    dealt = rows.select(F.xxhash64("group", "part", "other").alias("tile"), "node", "component", "minor").join(sketches, "node")
+    ordered = dealt.repartition("tile").sortWithinPartitions("tile")
+    return ordered.mapInPandas(_compared(percent, forest), "a long, b long").distinct()
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
-    return both.where(_may_link("x", "y", percent)).select("a", "b")
+
+def _within(rows: DataFrame) -> DataFrame:
+    """``rows`` (group, node) of groups with blocks of about TILE nodes, each a tile of its own."""
+    blocks = rows.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    whole = rows.join(blocks, "group").withColumns({"component": F.col("node"), "minor": F.lit(True)})
+    return whole.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "other": F.lit(0)})
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """``rows`` (group, node, component) of the groups that hold several components, dealt to tiles.
+
+    All but a group's largest component are its minor nodes. They go in parts of about TILE to every block of the
+    group, and every node to each part: any two nodes of different components meet in a tile, and a crowd of one
+    component is not compared with itself.
+    """
+    by = rows.groupBy("group", "component").agg(F.count("*").alias("n"))
+    sizes = by.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major"), F.count("*").alias("c")).where("c > 1")
+    parts, blocks = (F.ceil(n / TILE).cast("int").alias(name) for n, name in ((F.col("n") - F.col("major.n"), "parts"), (F.col("n"), "blocks")))
+    open_rows = rows.join(sizes.select("group", F.col("major.component").alias("major"), parts, blocks), "group")
+    marked = open_rows.withColumns({"minor": F.col("component") != F.col("major"), "hash": F.xxhash64("node")})
+    own_part, own_block = F.pmod("hash", F.col("parts")), F.pmod(F.shiftright("hash", 20), F.col("blocks"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.cast("long").alias("part"), own_block.alias("other")))
+    as_minor = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(own_part.alias("part"), b.cast("long").alias("other")))
+    tiles = F.when(F.col("minor"), F.array_union(as_any, as_minor)).otherwise(as_any)
+    return marked.select("group", "node", "component", "minor", F.explode(tiles).alias("t")).select("group", "node", "component", "minor", "t.part", "t.other")
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity; each set is made again from one document that holds it."""
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = nodes.join(wanted, "node").select(F.col("doc").alias("doc_id"))
+    ids = cut(nodes.join(wanted, "node").select(F.col("doc").alias("doc_id")))
     chosen = likely_members(rows, ids, "doc_id").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
     sets = chosen.mapInPandas(_full_sets, "node long, tokens array<long>")  # one exchange serves both joins
     of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t_{side}"))
@@ -258,39 +406,33 @@ def link_components(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = rows.select("text")
     described = F.pandas_udf(_described, "n_shingles long, node long, sketch array<long>")
     members = cut(rows.select("doc_id", described("text").alias("m")).select("doc_id", "m.*"))
-    worded = members.where("n_shingles > 0")
-    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    named = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows, worded = rows.where("doc_id is not null"), members.where(named)
+    nodes = cut(worded.groupBy("node").agg(F.min("doc_id").alias("doc")))
+    texts = rows.select("text")
     bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts))
-    postings = texts.mapInPandas(_postings(bitmap, percent), "key long, node long")
-    w = Window.partitionBy("key")
-    # lists with the same members, as far as their hash tells, become one
-    part = F.shiftright(F.xxhash64("node"), 32)
-    lists = postings.select("node", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"), F.xxhash64(F.sum(part).over(w), F.count("*").over(w)).alias("sig"))
-    shared = lists.where("least <> most").select(F.xxhash64("sig", "least", "most").alias("list"), "node", "least")
-    candidates = cut(shared.distinct())
-    stars = candidates.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    linked = _similar(_likely(stars, nodes, percent), rows, nodes, percent)
+    met = _groups(texts.mapInPandas(_postings(bitmap, percent), "key long, node long"))
+    sketches = likely_members(worded.select("node", "n_shingles", "sketch"), met, "node").dropDuplicates(["node"])
+    first = _candidates(_within(met), sketches, percent, True)
+    linked = _similar(first, rows, nodes, percent)
     groups = components(linked)
-    grouped = candidates.join(groups, "node", "left").select("list", "node", "least", F.coalesce("component", "node").alias("component"))
-    open_lists = grouped.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("list")
-    left = grouped.join(open_lists, "list").where("node <> least").select("list", "node", "component")
-    # a pair is judged in the first of the lists that it shares; a node stands in as many as its prefix has keys
-    own = left.groupBy("node").agg(F.collect_list("list").alias("lists"))
-    left = left.join(own, "node").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    apart = F.expr("x.list = y.list and x.component < y.component") & _may_link("x", "y", percent)
-    once = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.list")
-    pairs = left.alias("x").join(left.alias("y"), apart & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    more = _similar(pairs, rows, nodes, percent)
-    if not more.isEmpty():
-        groups = components(linked.union(more))
-    named = nodes.join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_node = named.join(smallest, "component").select("node", "component_id")
+    for forest in (True, False):  # links across components: first the likeliest, then whatever is left
+        grouped = met.join(groups, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+        across = cut(_across(grouped))
+        if across.isEmpty():
+            break
+        few = likely_members(worded.select("node", "n_shingles", "sketch"), across, "node").dropDuplicates(["node"])
+        more = _similar(_candidates(across, few, percent, forest), rows, nodes, percent)
+        if not more.isEmpty():
+            linked = linked.union(more)
+            groups = components(linked)
+    placed = nodes.join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
+    by_node = placed.join(smallest, "component").select("node", "component_id")
     out = worded.join(by_node, "node").select("doc_id", "n_shingles", "component_id")
-    return out.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.union(members.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

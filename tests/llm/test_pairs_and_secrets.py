@@ -32,15 +32,64 @@ def _near_copies():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("frequent", [2, 16])
-def test_ngram_join(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "tile"), [(2, 512), (16, 512), (16, 6)])
+def test_ngram_join(spark, monkeypatch, frequent, tile):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     rows = _near_copies()
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n_shingles int, node string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(df).collect()}
     assert got == jaccard_components(rows)
 
 
+def test_ngram_join_of_quoted_halves(spark):
+    """A pair just over the threshold, all of whose shingles are frequent since many texts quote halves of it."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(149)]
+    a, b = shared + [f"a{i}" for i in range(18)], shared + [f"b{i}" for i in range(31)]
+    rows = [(0, " ".join(a)), (1, " ".join(b))]
+    for words in (a[:84], a[83:], b[:90], b[86:]):
+        for _ in range(24):
+            rows.append((len(rows), " ".join(words + [f"x{rng.randrange(10**9)}" for _ in range(90)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(df).collect()}
+    assert got == jaccard_components(rows)
+
+
+def test_ngram_join_of_long_texts_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    long = _prose(rng, 260_000)  # over 1 MB
+    rows = [(1, " ".join(long)), (2, " ".join(["new", *long[:-9000]])), (None, "one two three four five six"), (4, "one two three four five six"), (4, "one two three four five six"), (4, "seven"), (5, "seven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.link_components(df).collect()))
+    n = [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in (long, ["new", *long[:-9000]])]
+    assert got == [(0, 2, 0), (1, n[0], 1), (2, n[1], 1), (4, 1, 4), (4, 2, 4), (4, 2, 4), (5, 1, 4)]
+
+
+def test_forest():
+    rng = np.random.default_rng(14)
+    i, j, weight = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.random(300)
+    label = np.arange(60) // 2
+    parent, want = label.copy(), 0.0
+    for k in np.argsort(weight):
+        a, b = parent[i[k]], parent[j[k]]
+        if a != b:
+            want += weight[k]
+            parent[parent == a] = b
+    got = ngram_join._forest(i, j, weight, label)
+    assert len(set(got.tolist())) == len(got) and weight[got].sum() == pytest.approx(want)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(15)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 30, 31, 33, 900, 1500, 4000)]
+    sketches = ngram_join._Sketches([ngram_join._sketch(s) for s in sets])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert (sketches.apart(i, j) <= apart).all() and sketches.apart(i, j).max() > 900
+
+
 def test_ngram_join_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link_components(empty).count() == 0
@@ -78,6 +127,21 @@ def test_index_keys_of_other_sizes_meet():
         assert len(np.intersect1d(*keys)), (trial, n, m)
 
 
+def test_index_keys_with_unshared_shingles_first():
+    """The unshared shingles come first in the order, so that they fill the prefixes."""
+    rng = np.random.default_rng(16)
+    bitmap = np.full(1 << (ngram_join.BITMAP_BITS - 6), 2**64 - 1, np.uint64)
+    for trial in range(20_000):
+        n = int(rng.integers(60, 401))
+        m = int(rng.integers(-(-3 * n // 4), n + 1))
+        common = -(-75 * (n + m) // 175)
+        pool = np.sort(rng.integers(0, 2**63, n + m - common).astype(np.uint64))
+        own, shared = pool[: n + m - 2 * common], pool[n + m - 2 * common :]
+        mine = rng.permutation(len(own)) < n - common
+        keys = [ngram_join.index_keys(np.r_[x, shared], bitmap, 75) for x in (own[mine], own[~mine])]
+        assert len(np.intersect1d(*keys)), (trial, n, m)
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
