@@ -91,12 +91,71 @@ def test_toxicity_of_nothing(spark):
     assert [r.score for r in toxicity.score(_docs(spark, ["a", None]), model).collect()] == [0.0, 0.0]
     one = spark.createDataFrame([(1, "a b", 1, 0), (2, "a c", 1, 1)], "doc_id long, text string, toxic int, half int")
     assert toxicity.score(_docs(spark, ["a"]), toxicity.train(one)).first().score == 0.0
-
-
-def test_count_codes():
-    n = np.array([0, 1, 63, 64, 100, 1e5, 1e8])
-    back = toxicity._COUNT[np.frombuffer(__import__("zlib").decompress(toxicity._pack(n)), np.uint8)]
-    assert (back[:3] == n[:3]).all() and np.allclose(back, n, rtol=0.05)
+    assert toxicity.score(_docs(spark, ["a"]).limit(0), model).count() == 0
+
+
+def _plain_ratio(rows):
+    """word -> log-likelihood ratio, by dictionaries of byte strings, from (words, toxic) rows."""
+    counts = [{}, {}]
+    for words, toxic in rows:
+        for w in set(words):
+            counts[toxic][w] = counts[toxic].get(w, 0) + 1
+
+    def path(w):
+        out = [b""]
+        for n in toxicity.STEPS:
+            out.append(w[:n] if n and len(w) >= n else w + b"$")
+            if out[-1][-1:] == b"$":
+                break
+        return out
+
+    def piece(k, a, b):
+        return k, b[len(a):]
+
+    n, kids, contexts = [{}, {}], [{}, {}, {}], {}
+    for c in (0, 1):
+        for w, m in counts[c].items():
+            for s in path(w):
+                n[c][s] = n[c].get(s, 0) + m
+            for k, (a, b) in enumerate(zip(path(w), path(w)[1:])):
+                kids[c].setdefault(a, set()).add(b)
+                kids[2].setdefault(a, set()).add(b)
+                contexts.setdefault(k, {}).setdefault(piece(k, a, b), set()).add(a)
+
+    def ratio(w):
+        total = 0.0
+        for k, (a, b) in enumerate(zip(path(w), path(w)[1:])):
+            of = [n[c].get(a, 0) for c in (0, 1)]
+            if not sum(of):
+                break
+            cell = [n[c].get(b, 0) for c in (0, 1)]
+            level = contexts[k]
+            p = (len(level.get(piece(k, a, b), ())) + 0.5) / (sum(map(len, level.values())) + 1)
+            below = (max(sum(cell) - 0.75, 0) + 0.75 * len(kids[2].get(a, ())) * p) / sum(of)
+            both = [max(cell[c] - 0.75, 0) / (of[c] + 50) + (0.75 * len(kids[c].get(a, ())) + 50) / (of[c] + 50) * below for c in (0, 1)]
+            total += np.log(both[1] / both[0])
+        return total
+
+    return ratio
+
+
+@pytest.mark.parametrize("head", [1 << 20, 4, 0])
+def test_toxicity_against_plain_counts(spark, monkeypatch, head):
+    """The compared log-likelihoods of whole texts, whatever is broadcast and what is joined."""
+    monkeypatch.setattr(toxicity, "PRUNE", 0.0)
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    rng = random.Random(17)
+    pool = ["the", "then", "th", "t", "shouldering", "shouldered", "idiot", "idiotic", "über", "a1", "x" * 20]
+    rows = [(" ".join(rng.choices(pool[: 4 + i % 8], k=8)), int(i % 3 == 0), i // 3 % 2) for i in range(60)] + [("the the the", 0, 0), ("The, THE", 1, 1)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int, half int"))
+    ratio = _plain_ratio([(t.lower().replace(",", " ").encode().split(), x) for t, x, _ in rows])
+    texts = ["the idiot", "zebra thenceforth shoulder", "", None, " ".join(pool * 3), "word " * 400_000 + "idiot idiotic"]  # the last over 1 MB
+    docs = _docs(spark, texts, top="clash", words="clash")
+    got = {r.doc_id: r["__f"] for r in toxicity._features(docs, "text", spark.sparkContext.broadcast(model.head), model.tail, 2).collect()}
+    for i, t in enumerate(texts):
+        values = sorted((ratio(w) for w in set((t or "").lower().encode().split())), reverse=True)
+        want = [sum(values) / max(len(values), 1), *[sum(values[:k]) / k for k in toxicity.TOP], np.log1p(len(values))]
+        assert got[i] == pytest.approx(want, abs=1e-5), t
 
 
 @pytest.fixture(scope="module")
