@@ -1,107 +1,147 @@
 """Mixing sources to target weights, by soft memberships and projected-gradient least squares.
 
-A classifier learned from a labelled table (naive Bayes over binned character rates) gives each
-document a posterior over the domains, so mixed or unlabelled documents belong to several in part.
-Each document then gets a nonnegative rate such that the expected tokens of domain k, the sum of
-rate * tokens * posterior[k], match its target: the least-squares problem is solved by projected
-gradient from the rate 1, so rates stay near 1 where the targets allow. In the metric that weighs a
-document by its tokens and a domain by its present tokens, the step 1 is stable, and every document
-of one posterior has one rate.
-
-Documents of equal binned rates form a cell. Cells are at most (BINS + 1) ** features whatever the
-corpus holds; each gradient step is one aggregation over the table of cells, and what comes to the
-driver is one residual a domain. All of it is DataFrame functions.
-
-Defined results: null and empty texts have 0 tokens, the posterior of the empty cell, and that cell's
-rate. Domains without a target get the target 0 weight only if ``targets`` says so; otherwise they
-keep their present share. Rows with a null domain or id teach nothing; with nothing to learn from all
-rates are 1. Repeated rows are mixed each.
+A classifier learned from a labelled table gives each document a posterior over the domains, so mixed or unlabelled
+documents belong to several in part: naive Bayes over the document's distinct words and characters, hashed to
+BUCKETS features, whose evidence counts as at most EVIDENCE features so that posteriors stay soft. It knows no
+language or script beforehand; characters tell apart texts that are not written in words. Each document then gets a
+nonnegative rate such that the expected tokens of domain k, the sum of rate * tokens * posterior[k], match its target:
+the least-squares problem is solved by projected gradient from the rate 1, so rates stay near 1 where the targets allow.
+In the metric that weighs a document by its tokens and a domain by its present tokens, the step 1 is stable, and every
+document of one posterior has one rate, which is a function of that posterior alone.
+
+Posteriors are rounded to steps of 1 / GRID, so that the solver sums documents of one posterior first; each gradient step is one
+aggregation over that table, and what comes to the driver is one residual a domain. The model is BUCKETS numbers a
+domain. All of it is DataFrame functions.
+
+Defined results: null and empty texts have 0 tokens and the prior as posterior. Domains without a target keep their
+present share; where no domain with tokens has a positive target, all rates are 1. Rows with a null domain or id teach nothing; with
+nothing to learn from all rates are 1. Repeated rows are mixed each. Rates are at most MAX_RATE; targets beyond that are missed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Character classes whose rates describe a document, as regular expressions.
-FEATURES = ("[éèêëçàâîôûùœæ]", "[äöüß]", "[ñóíá]", "[%&$#*|]")
-#: Bins of a rate, by powers of two of occurrences per thousand characters.
-BINS = 7
+BUCKETS = 4096
+#: Features that count as evidence at most, however many a document has.
+EVIDENCE = 32.0
+#: Pseudo-count of a feature in a domain.
+PSEUDO = 0.5
+#: Steps from 0 to 1 of a rounded posterior.
+GRID = 32
+#: The classifier is fitted on about so many labelled rows at most, those with the smallest hashed ids.
+LABELLED_ROWS = 20_000
 STEPS = 40
 TOLERANCE = 1e-6
+#: A document counts, or is repeated, at most so many times.
+MAX_RATE = 50.0
 #: Target weights of the domains in the registered query.
 TARGETS = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text."""
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
-
-
-def cell(text: Column) -> Column:
-    """The document's cell: its binned rates as one number."""
-    whole = F.coalesce(text.cast("string"), F.lit(""))
-    per = F.greatest(F.length(whole), F.lit(1))
-
-    def bin_of(pattern: str) -> Column:
-        n = F.regexp_count(whole, F.lit(pattern))
-        return F.when(n == 0, 0).otherwise(F.least(F.lit(BINS), F.floor(F.log2(1 + 1000 * n / per)).cast("int") + 1))
-
-    return reduce(lambda acc, f: acc * (BINS + 1) + bin_of(f), FEATURES, F.lit(0)).cast("int")
-
-
-def _bins(code: Column) -> list[Column]:
-    return [F.pmod(F.floor(code / (BINS + 1) ** (len(FEATURES) - 1 - i)), F.lit(BINS + 1)).cast("int") for i in range(len(FEATURES))]
-
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def posteriors(cells: DataFrame, labelled: DataFrame) -> tuple[list[str], DataFrame]:
-    """The domains, and ``cells`` with ``post``: naive Bayes over the bins of (cell, domain) rows."""
-    known = labelled.dropna().select("domain", F.posexplode(F.array(*_bins(F.col("cell")))).alias("feature", "bin"))
-    counts = known.groupBy("domain", "feature", "bin").count().collect()  # domains x features x bins
-    domains = sorted({r["domain"] for r in counts})
-    n = {(r["domain"], r["feature"], r["bin"]): r["count"] for r in counts}
-    docs = {d: sum(n.get((d, 0, b), 0) for b in range(BINS + 1)) for d in domains}
-    bins = _bins(F.col("cell"))
 
-    def log_joint(d: str) -> Column:
-        by_bin = [F.element_at(F.array(*[F.log(F.lit((n.get((d, i, b), 0) + 0.1) / (docs[d] + 0.1 * (BINS + 1)))) for b in range(BINS + 1)]), x + 1) for i, x in enumerate(bins)]
-        return reduce(lambda a, b: a + b, by_bin, F.log(F.lit(docs[d] / sum(docs.values()))))
+def _words(text: Column) -> Column:
+    """Words of a text, without capitals."""
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")
 
-    if not domains:
-        return [], cells.withColumn("post", F.array().cast("array<double>"))
-    joint = cells.withColumn("joint", F.array(*map(log_joint, domains)))
-    odds = joint.withColumn("odds", F.transform("joint", lambda x: F.exp(x - F.array_max("joint"))))
-    total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
-    return domains, odds.withColumn("total", total).withColumn("post", F.transform("odds", lambda x: x / F.col("total"))).drop("joint", "odds", "total")
 
-
-def _rate(residuals: list[list[float]]) -> Column:
-    """The rate after a history of scaled residuals, each step projected onto rates of at least 0."""
+def tokens(text: Column) -> Column:
+    """Number of words of a text."""
+    return F.size(_words(F.coalesce(text.cast("string"), F.lit("")))).cast("long")
+
+
+def described(text: Column) -> Column:
+    """(tokens, features): the number of words, and the buckets of the distinct words and characters."""
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+
+    def of(words: Column) -> Column:
+        parts = F.concat(F.array_distinct(words), F.array_distinct(F.transform(F.array_distinct(F.split(F.array_join(words, ""), "")), lambda c: F.concat(F.lit(" "), c))))
+        found = F.transform(parts, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+        return F.struct(F.size(words).cast("long").alias("tokens"), F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<int>")).alias("features"))
+
+    return _let(_words(low), of)
+
+
+@dataclass(frozen=True)
+class Classifier:
+    domains: list[str]
+    prior: list[float]
+    #: Log-likelihood of a feature in each domain, bucket by bucket.
+    weights: list[float]
+
+    def posterior(self, features: Column) -> Column:
+        """Rounded probabilities of the domains, which sum to about 1."""
+        k = len(self.domains)
+        if not k:
+            return F.array().cast("array<double>")
+        numbers = lambda xs: F.split(F.lit(",".join(f"{x:.5g}" for x in xs)), ",").cast("array<double>")
+        table_, none = numbers(self.weights), numbers([0.0] * k)
+        summed = F.aggregate(features, none, lambda acc, b: F.zip_with(acc, F.slice(table_, b * k + 1, k), lambda x, y: x + y))
+        share = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size(features), F.lit(1)))
+        joint = _let(share, lambda s: F.zip_with(summed, numbers(self.prior), lambda x, p: x * s + p))
+        odds = _let(joint, lambda j: F.transform(j, lambda x: F.exp(x - F.array_max(j))))
+        return _let(odds, lambda o: F.transform(o, lambda x: F.round(x / F.aggregate(o, F.lit(0.0), lambda a, y: a + y) * GRID) / GRID))
+
+    def best(self, post: Column) -> Column:
+        """The likeliest domain, of equal ones the first."""
+        if not self.domains:
+            return F.lit(None).cast("string")
+        return F.element_at(F.array(*map(F.lit, self.domains)), F.array_position(post, F.array_max(post)).cast("int"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, domain: str, text: str = "text", doc_id: str = "doc_id") -> Classifier:
+    """Count the features of the documents that the labelled table names, by domain."""
+    names = labels.select(F.col(doc_id).alias("__id")).dropna().distinct()
+    share = min(1.0, LABELLED_ROWS / max(names.count(), 1))
+    chosen = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20))
+    few = docs.select(F.col(doc_id).alias("__id"), F.col(domain).cast("string").alias("domain"), F.col(text).alias("text")).where(chosen("__id") & F.col("domain").isNotNull())
+    rows = few.join(names.where(chosen("__id")).hint("merge"), "__id", "left_semi").select("domain", described(F.col("text")).alias("d"))
+    rows = cut(rows.select("domain", "d.features"))
+    per = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}  # a row for each domain
+    domains = sorted(per)
+    got = rows.select("domain", F.explode("features").alias("bucket")).groupBy("domain", "bucket").count().collect()  # domains x BUCKETS rows at most
+    n = {(r["domain"], r["bucket"]): r["count"] for r in got}
+    total = {d: sum(n.get((d, b), 0) for b in range(BUCKETS)) + PSEUDO * BUCKETS for d in domains}
+    weights = [math.log((n.get((d, b), 0) + PSEUDO) / total[d]) for b in range(BUCKETS) for d in domains]
+    # only differences between domains matter: the largest of a bucket is 0
+    k = len(domains)
+    weights = [w - max(weights[i // k * k : i // k * k + k]) for i, w in enumerate(weights)]
+    return Classifier(domains, [math.log(per[d] / sum(per.values())) for d in domains], weights)
+
+
+def _rate(residuals: list[list[float]], most: float) -> Column:
+    """The rate after a history of scaled residuals, each step projected onto rates from 0 to ``most``, as a function of ``post``."""
     if not residuals:
         return F.lit(1.0)
     flat = F.split(F.lit(";".join(",".join(map(repr, r)) for r in residuals)), ";")
     history = F.transform(flat, lambda s: F.split(s, ",").cast("array<double>"))
     dot = lambda g: F.aggregate(F.zip_with("post", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(history, F.lit(1.0), lambda rate, g: F.greatest(F.lit(0.0), rate - dot(g)))
+    return F.aggregate(history, F.lit(1.0), lambda rate, g: F.least(F.lit(most), F.greatest(F.lit(0.0), rate - dot(g))))
 
 
-def fit(summed: DataFrame, domains: list[str], targets: dict[str, float], keep_all: bool = False) -> DataFrame:
-    """``summed`` (cell, tokens, post) with ``rate``.
+def rates(known: DataFrame, domains: list[str], targets: dict[str, float], keep_all: bool = False, most: float = MAX_RATE) -> Column:
+    """The rate of a document as a function of its ``post``, fitted on ``known`` (tokens, post).
 
     The targets are weights of the present tokens in all; with ``keep_all`` the total is instead the smallest at which no
     domain is thinned, and rates below 1 are raised to it.
     """
+    summed = cut(known.groupBy("post").agg(F.sum("tokens").alias("tokens")))
     expected = lambda rate: [F.sum(F.col("tokens") * rate * F.element_at("post", k + 1)).alias(f"k{k}") for k in range(len(domains))]
-    first = summed.agg(*expected(F.lit(1.0))).first() if domains else ()
-    present = [float(x or 0) for x in first]
+    present = [float(x or 0) for x in summed.agg(*expected(F.lit(1.0))).first()] if domains else []
     total = sum(present)
-    if not total:
-        return summed.withColumn("rate", F.lit(1.0))
-    weight = [max(targets.get(d, present[k] / total), 0.0) for k, d in enumerate(domains)]
+    weight = [max(targets.get(d, present[k] / total), 0.0) if total else 0.0 for k, d in enumerate(domains)]
+    if not any(w and p for w, p in zip(weight, present, strict=True)):
+        return F.lit(1.0)
     weight = [w / sum(weight) for w in weight]
     if keep_all:
         total = max(p / w for p, w in zip(present, weight, strict=True) if w and p)
@@ -113,42 +153,30 @@ def fit(summed: DataFrame, domains: list[str], targets: dict[str, float], keep_a
         if max(map(abs, scaled)) < TOLERANCE:
             break
         residuals.append(scaled)
-        now = [float(x or 0) for x in summed.agg(*expected(_rate(residuals))).first()]
-    rate = _rate(residuals)
-    return summed.withColumn("rate", F.greatest(rate, F.lit(1.0)) if keep_all else rate)
-
-
-def cell_rates(described: DataFrame, labelled: DataFrame, targets: dict[str, float], keep_all: bool = False) -> DataFrame:
-    """(cell, post, rate), at most (BINS + 1) ** len(FEATURES) rows, from ``described`` (cell, tokens)."""
-    cells = described.groupBy("cell").agg(F.sum("tokens").alias("tokens"))
-    domains, soft = posteriors(cells, labelled)
-    names = F.array(*map(F.lit, domains)) if domains else F.array().cast("array<string>")
-    best = F.element_at(names, F.array_position("post", F.array_max("post")).cast("int")) if domains else F.lit(None).cast("string")
-    return fit(cut(soft), domains, targets, keep_all).select("cell", best.alias("domain"), "rate")
-
-
-def labelled_cells(described: DataFrame, labels: DataFrame, domain: str) -> DataFrame:
-    """(domain, cell) of the documents that the labelled table names."""
-    return described.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col(domain).cast("string").alias("domain"), "cell")
+        now = [float(x or 0) for x in summed.agg(*expected(_rate(residuals, most))).first()]
+    rate = _rate(residuals, most)
+    return F.greatest(rate, F.lit(1.0)) if keep_all else rate
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", text: str = "text", most: float = MAX_RATE) -> DataFrame:
     """``docs`` repeated by their rates: floor(rate) times, and once more for a share of them drawn by hashed id.
 
-    No document is thinned out. The rates' table has a fixed bound and is broadcast.
+    No document is thinned out, none is repeated more than ``most`` times.
     """
-    described = docs.select("doc_id", F.col(domain), cell(F.col(text)).alias("cell"), tokens(F.col(text)).alias("tokens"))
-    described = cut(described)
-    rates = cell_rates(described, labelled_cells(described, labels, domain), targets, keep_all=True)
+    model = learn(docs, labels, domain, text)
+    with_post = lambda df: df.withColumn("__d", described(F.col(text))).withColumn("post", model.posterior(F.col("__d.features")))
+    fitted = rates(with_post(docs.select(text)).select("__d.tokens", "post"), model.domains, targets, True, most)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor(F.coalesce("__rate", F.lit(1.0)) + draw).cast("int")
-    named = docs.withColumn("__cell", cell(F.col(text)))
-    joined = named.join(F.broadcast(rates.select(F.col("cell").alias("__cell"), F.col("rate").alias("__rate"))), "__cell", "left")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).select(*docs.columns)
+    own = [F.col(f"__own.`{c}`") for c in docs.columns]
+    rated = with_post(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own"), F.col(text), F.col("doc_id")))
+    copies = F.greatest(F.floor(fitted + draw).cast("int"), F.lit(1))
+    return rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*own)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    described = cut(docs.select("doc_id", "source", "lang", cell(F.col("text")).alias("cell"), tokens(F.col("text")).alias("n_tokens")))
-    rates = cell_rates(described.select("cell", F.col("n_tokens").alias("tokens")), labelled_cells(described, table(spark, sf_dir, "labels"), "lang"), TARGETS)
-    return described.join(F.broadcast(rates), "cell").select("doc_id", "source", "domain", "n_tokens", "rate")
+    model = learn(docs, table(spark, sf_dir, "labels"), "lang")
+    known = docs.select("doc_id", "source", described(F.col("text")).alias("d")).select("doc_id", "source", F.col("d.tokens").alias("n_tokens"), model.posterior(F.col("d.features")).alias("post"))
+    known = cut(known)
+    rate = rates(known.select(F.col("n_tokens").alias("tokens"), "post"), model.domains, TARGETS)
+    return known.select("doc_id", "source", model.best(F.col("post")).alias("domain"), "n_tokens", rate.alias("rate"))

@@ -265,25 +265,65 @@ def test_every_template_is_compared():
     assert all([r[0] for r in scanner.text(t)] == [n] for n, t in many.items())
 
 
-def test_mixing_meets_its_targets(spark):
+SCRIPTS = {"de": "über schön der", "en": "the and of", "ru": "и что это", "zh": "的一是在 不了有和 人这中大"}
+
+
+def _mixture(spark, n=120):
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choices(["über", "schön", "der"] if i % 4 == 0 else ["the", "and", "of"], k=20)), "de" if i % 4 == 0 else "en", "s") for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, rate string")
-    described = docs.select("doc_id", "lang", mixing.cell(F.col("text")).alias("cell"), mixing.tokens(F.col("text")).alias("tokens"))
-    labelled = mixing.labelled_cells(described, spark.createDataFrame([(i,) for i in range(0, 120, 1)], "doc_id long"), "lang")
-    rates = mixing.cell_rates(described, labelled, {"en": 0.5, "de": 0.5})
-    totals = {r.domain: r.t for r in described.join(rates, "cell").groupBy("domain").agg(F.sum(F.col("tokens") * F.col("rate")).alias("t")).collect()}
-    assert totals["de"] == pytest.approx(1200, rel=0.02) and totals["en"] == pytest.approx(1200, rel=0.02)
-    mixed = mixing.mix(docs, spark.createDataFrame([(i,) for i in range(120)], "doc_id long"), {"en": 0.5, "de": 0.5})
+    langs = ["en", "en", "en", "de", "ru", "zh"]
+    rows = [(i, "".join(rng.choices(SCRIPTS["zh"], k=60)) if lang == "zh" else " ".join(rng.choices(SCRIPTS[lang].split(), k=20)), lang, "s") for i in range(n) for lang in [langs[i % 6]]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, rate string")
+
+
+def test_mixing_meets_its_targets(spark):
+    docs = _mixture(spark)
+    ids = spark.createDataFrame([(i,) for i in range(0, 120)], "doc_id long")
+    model = mixing.learn(docs, ids, "lang")
+    assert model.domains == sorted(SCRIPTS)
+    known = docs.select("doc_id", "lang", mixing.described(F.col("text")).alias("d")).select("doc_id", "lang", "d.tokens", model.posterior(F.col("d.features")).alias("post"))
+    assert all(r.best == r.lang for r in known.select("lang", model.best(F.col("post")).alias("best")).collect())
+    targets = {"en": 0.2, "de": 0.5, "ru": 0.3, "zh": 0.0}
+    rate = mixing.rates(known, model.domains, targets)
+    totals = {r.lang: r.t for r in known.withColumn("r", rate).groupBy("lang").agg(F.sum(F.col("tokens") * F.col("r")).alias("t")).collect()}
+    whole = sum(r.tokens for r in known.collect())
+    assert {k: totals[k] / whole for k in targets} == pytest.approx(targets, abs=0.02)
+    mixed = mixing.mix(docs, ids, {"en": 0.2, "de": 0.4, "ru": 0.4})
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == 120
-    assert 150 <= mixed.count() <= 210
+    again = {r.lang: r.n for r in mixed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert again["en"] == 60 and 100 <= again["de"] <= 140 and 100 <= again["ru"] <= 140
+
+
+def test_posteriors_against_plain_naive_bayes(spark):
+    docs = _mixture(spark, 30)
+    model = mixing.learn(docs, docs.select("doc_id"), "lang")
+    rows = docs.select("doc_id", "lang", mixing.described(F.col("text")).alias("d")).select("doc_id", "lang", "d.features", model.posterior(F.col("d.features")).alias("post")).collect()
+    counts = {d: np.zeros(mixing.BUCKETS) for d in model.domains}
+    for r in rows:
+        np.add.at(counts[r.lang], r.features, 1)
+    weights = np.array([np.log((counts[d] + mixing.PSEUDO) / (counts[d].sum() + mixing.PSEUDO * mixing.BUCKETS)) for d in model.domains])
+    prior = np.log([sum(r.lang == d for r in rows) / len(rows) for d in model.domains])
+    for r in rows:
+        joint = prior + weights[:, r.features].sum(axis=1) * min(1, mixing.EVIDENCE / len(r.features))
+        odds = np.exp(joint - joint.max())
+        assert r.post == pytest.approx(odds / odds.sum(), abs=0.6 / mixing.GRID)
+
+
+def test_mixing_without_usable_targets(spark):
+    docs = _mixture(spark, 24)
+    for targets in ({d: 0.0 for d in SCRIPTS}, {"xx": 1.0, **{d: 0.0 for d in SCRIPTS}}):
+        assert mixing.mix(docs, docs.select("doc_id"), targets).count() == 24
+    far = mixing.mix(docs, docs.select("doc_id"), {"en": 1e-6, "zh": 1.0}, most=3.0)
+    assert far.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
 def test_mixing_of_odd_texts(spark):
-    docs = _docs(spark, [*ODD, *ODD], lang="en")
+    docs = _docs(spark, [*ODD, *ODD], lang="en", post="clash")
     none = spark.createDataFrame([], "doc_id long")
     assert mixing.mix(docs, none, mixing.TARGETS).count() == docs.count()
     assert mixing.mix(docs.limit(0), none, mixing.TARGETS).count() == 0
+    nulls = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "post")
+    mixed = mixing.mix(nulls, docs.select("doc_id"), mixing.TARGETS)
+    assert mixed.count() == docs.count() and mixed.columns == nulls.columns
     got = {r.doc_id: r.n for r in docs.select("doc_id", mixing.tokens(F.col("text")).alias("n")).collect()}
     assert got[0] == got[1] == got[2] == 0 and got[7] == 3000
 
@@ -291,7 +331,7 @@ def test_mixing_of_odd_texts(spark):
 def test_rates_against_plain_projected_gradient(spark):
     post, tokens, goal = np.array([[0.9, 0.1], [0.3, 0.7], [1.0, 0.0]]), np.array([100.0, 50.0, 30.0]), np.array([0.2, 0.8])
     df = spark.createDataFrame([(i, float(t), [float(x) for x in p]) for i, (t, p) in enumerate(zip(tokens, post, strict=True))], "cell int, tokens double, post array<double>")
-    got = [r.rate for r in mixing.fit(df, ["a", "b"], {"a": 0.2, "b": 0.8}).orderBy("cell").collect()]
+    got = [r.rate for r in df.withColumn("rate", mixing.rates(df, ["a", "b"], {"a": 0.2, "b": 0.8})).orderBy("cell").collect()]
     rate, present = np.ones(3), tokens @ post
     for _ in range(mixing.STEPS):
         rate = np.maximum(0, rate - post @ (((tokens * rate) @ post - goal * tokens.sum()) / present))
