@@ -12,9 +12,10 @@ product over that slice, and its score the sum over the slices.
    ranked, ties to the smaller id.
 
 Queries are taken in groups of at most GROUP_QUERIES, each one broadcast of bounded size (a stated
-query set against all rows, in blocks); rows are never moved but as results. Scores are integers:
-components become floor(scale * x), and float64 holds the sums exactly below 2**53; a larger one
-raises OverflowError.
+query set against all rows, in blocks); rows are never moved but as results. The local scores of a pair of blocks are
+products of matrices either way, so the threshold bounds what is sent and ranked, not the arithmetic. Components become
+floor(scale * x). Scores are exact integers: blocks whose sums stay below 2**53 are multiplied in float64, others below 2**63 in
+int64, and any others as Python integers; a score that does not fit a long raises OverflowError.
 
 Defined results: null vectors and those with null or non-finite components neither ask nor answer;
 vectors are compared only with those of the same length; a query's own row (by id) is no candidate;
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .vectors import BLOCK_ROWS, by_length, matrix, prepare
 
 SLICES = 4
@@ -40,16 +41,22 @@ SLICES = 4
 GROUP_QUERIES = 8192
 #: Queries scored at once within a task.
 QUERY_BLOCK = 256
+_LEAST = np.iinfo(np.int64).min
 
 
 def _local(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(slices, queries, rows) of local scores."""
+    """(slices, queries, rows) of local scores, as exact integers."""
+    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1]
+    exact = (lambda x: x) if bound < 2**53 else (lambda x: x.astype(np.int64)) if bound < 2**62 else (lambda x: np.array([[int(v) for v in r] for r in x], object))
     parts = np.array_split(np.arange(rows.shape[1]), min(SLICES, rows.shape[1]))
-    return np.stack([queries[:, p] @ rows[:, p].T for p in parts])
+    local = [exact(queries[:, p]) @ exact(rows[:, p]).T for p in parts]
+    if bound >= 2**62 and abs(sum(np.abs(x) for x in local)).max(initial=0) >= 2**63:
+        raise OverflowError("an inner product does not fit a long")
+    return np.stack([x.astype(np.int64) for x in local])
 
 
 def _pairs(batches: Iterator[pd.DataFrame], queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """Query ids, cutoffs, row ids and local scores of each pair of blocks; a query's own row is at -inf."""
+    """Query ids, cutoffs, row ids, local scores and which are candidates (not a query's own row), of each pair of blocks."""
     for batch in batches:
         for dim, part in by_length(batch):
             if dim not in queries:
@@ -60,9 +67,7 @@ def _pairs(batches: Iterator[pd.DataFrame], queries: dict[int, tuple[np.ndarray,
                 rows = matrix(part["vector"].iloc[lo : lo + BLOCK_ROWS])
                 for a in range(0, len(q_ids), QUERY_BLOCK):
                     of = slice(a, a + QUERY_BLOCK)
-                    local = _local(q[of], rows)
-                    local[:, q_ids[of, None] == ids] = -np.inf
-                    yield q_ids[of], cutoff[of], ids, local
+                    yield q_ids[of], cutoff[of], ids, _local(q[of], rows), q_ids[of, None] != ids
 
 
 def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -70,8 +75,8 @@ def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, vec_
     spark = df.sparkSession
     whole = lambda x: F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("double"))
     rows = prepare(df, vec_id, vector).withColumn("vector", whole(F.col("vector")))
-    asked = prepare(queries, vec_id, vector).withColumn("vector", whole(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    schema = "query_id long, vec_id long, score double"
+    asked = cut(prepare(queries, vec_id, vector).withColumn("vector", whole(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    schema = "query_id long, vec_id long, score long"
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = []
     last = None
@@ -80,35 +85,36 @@ def search(df: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, vec_
         if group.empty:
             break
         last = int(group["vec_id"].iloc[-1])
-        blocks = {dim: (part["vec_id"].to_numpy(), matrix(part["vector"]), np.full(len(part), -np.inf)) for dim, part in by_length(group)}
+        blocks = {dim: (part["vec_id"].to_numpy(), matrix(part["vector"]), np.full(len(part), _LEAST)) for dim, part in by_length(group)}
         first = spark.sparkContext.broadcast(blocks)
 
         def gather(batches: Iterator[pd.DataFrame], first=first) -> Iterator[pd.DataFrame]:
-            for q_ids, _, ids, local in _pairs(batches, first.value):
-                total, keep = local.sum(axis=0), min(k, len(ids))
-                if np.abs(total[np.isfinite(total)]).max(initial=0) >= 2**53:
-                    raise OverflowError("an inner product exceeds 2**53")
-                best = np.concatenate(np.argpartition(-local, keep - 1, axis=2)[:, :, :keep], axis=1)
+            for q_ids, _, ids, local, candidate in _pairs(batches, first.value):
+                keep = min(k, len(ids))
+                ranked = np.where(candidate, local, _LEAST)
+                best = np.concatenate(np.argpartition(ranked, len(ids) - keep, axis=2)[:, :, len(ids) - keep :], axis=1)
                 best = np.sort(best, axis=1)
-                new = np.c_[np.ones((len(best), 1), bool), best[:, 1:] != best[:, :-1]] & np.isfinite(np.take_along_axis(total, best, axis=1))
+                new = np.c_[np.ones((len(best), 1), bool), best[:, 1:] != best[:, :-1]] & np.take_along_axis(candidate, best, axis=1)
                 q, at = np.nonzero(new)
-                yield pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[best[q, at]], "score": total[q, best[q, at]]})
+                row = best[q, at]
+                yield pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[row], "score": local[:, q, row].sum(axis=0)})
 
         top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         seen = rows.mapInPandas(gather, schema)
         safe = seen.withColumn("n", F.row_number().over(top)).where(F.col("n") == k).select("query_id", "score").toArrow().to_pandas()  # one a query of the group
         cutoff = dict(zip(safe["query_id"], safe["score"], strict=True))
-        second = spark.sparkContext.broadcast({dim: (ids, m, np.array([cutoff.get(i, -np.inf) for i in ids])) for dim, (ids, m, _) in blocks.items()})
+        second = spark.sparkContext.broadcast({dim: (ids, m, np.array([cutoff.get(i, _LEAST) for i in ids], np.int64)) for dim, (ids, m, _) in blocks.items()})
 
         def resolve(batches: Iterator[pd.DataFrame], second=second) -> Iterator[pd.DataFrame]:
-            for q_ids, cut, ids, local in _pairs(batches, second.value):
-                q, at = np.nonzero((local >= (cut / len(local))[:, None]).any(axis=0) & np.isfinite(local[0]))
+            for q_ids, least, ids, local, candidate in _pairs(batches, second.value):
+                share = least // len(local)  # rounded down: what lies below it in every slice totals less than the cutoff
+                q, at = np.nonzero((local >= share[:, None]).any(axis=0) & candidate)
                 total = local[:, q, at].sum(axis=0)
-                enough = total >= cut[q]
+                enough = total >= least[q]
                 yield pd.DataFrame({"query_id": q_ids[q[enough]], "vec_id": ids[at[enough]], "score": total[enough]})
 
         ranked = rows.mapInPandas(resolve, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-        out.append(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score")))
+        out.append(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
     result = out[0] if out else empty
     for part in out[1:]:
         result = result.unionByName(part)
