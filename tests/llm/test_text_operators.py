@@ -60,6 +60,33 @@ def test_language_blocks_do_not_matter(language_rows, monkeypatch):
     assert one[0] == two[0] and np.allclose(one[1], two[1])
 
 
+def test_language_counts_over_cuts():
+    rng = random.Random(19)
+    texts = ["".join(rng.choices("abc é1,", k=k)) for k in (0, 1, 2, 3, 7, 8, 9, 500)] + ["ab\0cd", None]
+
+    def counts(limit):
+        total = np.zeros((1 << langid.BITS) + 1, np.int64)
+        for _, joined, again in langid._blocks(texts, limit):
+            for bucket in langid._grams(joined, again)[0]:
+                total += np.bincount(bucket, minlength=len(total))
+        return total[:-1]
+
+    whole = counts(1 << 20)
+    want = 0
+    for t in texts:
+        plain = langid._plain(t)
+        want += sum(c != " " for c in plain) + max(len(plain) - 1, 0) + max(len(plain) - 2, 0)
+    assert whole.sum() == want and all((counts(limit) == whole).all() for limit in (1, 2, 3, 7, 8))
+
+
+def test_many_languages(spark):
+    rng = random.Random(20)
+    rows = [(i, "".join(rng.choices([chr(0x4E00 + 10 * k + j) for j in range(10)], k=40)), f"l{k:03}") for k in range(150) for i in (2 * k, 2 * k + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.learn(df)).collect()
+    assert len(got) == 300 and sum(r.lang == r.lang_pred for r in got) >= 298
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark):
     rng = random.Random(2)
