@@ -6,7 +6,7 @@ components and at least shorten every path, until the edges are stars around the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -15,29 +15,22 @@ from .common import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``: the smallest node that it reaches.
 
-    Null ends and loops are no edges; repeated edges count once. A star's centre may have any number of
-    leaves: the minimum over them is a partial aggregate, so no task gathers a node's whole neighbourhood
-    before it is combined.
+    Null ends and loops are no edges; repeated edges count once. A node's edges are read as a stream by one task, which may
+    spill; what leaves it is one row an edge.
     """
-    pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col("hi") != F.col("lo")).distinct()
+    pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col("hi") != F.col("lo"))
+    by_node, by_hi = Window.partitionBy("node"), Window.partitionBy("hi")
     before = None
     while True:
-        large = _star(pairs.union(pairs.select("lo", "hi")).toDF("node", "other"), larger=True)
-        pairs = cut(_star(large.toDF("node", "other"), larger=False))
+        both = pairs.union(pairs.select("lo", "hi")).toDF("node", "other")
+        # each node's larger neighbours go to the smallest among its neighbours and it
+        large = both.withColumn("least", F.least("node", F.min("other").over(by_node))).where(F.col("other") > F.col("node")).select(F.col("other").alias("hi"), F.col("least").alias("lo"))
+        # then each node and its smaller neighbours go to the smallest of these
+        small = large.withColumn("least", F.min("lo").over(by_hi)).select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("least").alias("lo"))
+        pairs = cut(small.where(F.col("hi") != F.col("lo")).distinct())
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == before or not now[0]:
             break
         before = now
     leaves = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return leaves.union(pairs.select("lo", "lo").distinct().toDF("node", "component"))
-
-
-def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """Connect each node's neighbours (larger or smaller ones) to the smallest among it and them; (hi, lo)."""
-    smallest = links.groupBy("node").agg(F.min("other").alias("least")).withColumn("least", F.least("node", "least"))
-    joined = links.join(smallest, "node")
-    if larger:
-        out = joined.where(F.col("other") > F.col("node")).select(F.col("other").alias("hi"), F.col("least").alias("lo"))
-    else:
-        out = joined.select(F.explode(F.array("other", "node")).alias("hi"), F.col("least").alias("lo"))
-    return out.where(F.col("hi") != F.col("lo")).distinct()

@@ -22,10 +22,10 @@ either, which keeps the lists of passages that many documents quote out of the w
 Groups: lists with the same members are one list, and the lists of one smallest node are one group, which
 has each of its nodes once however many keys they share. A sketch of a set holds the parity of each of its hashed
 buckets; two sketches differ in no more bits than the sets in members, which rules most pairs out before any set is
-fetched. Groups are compared in tiles of bounded size, in three rounds. The first takes, within each
-block of a group, a spanning forest of the closest pairs; the second does so between the components that this left; the
-third takes every pair between components that sizes and sketches allow. A crowd of near copies is
-so linked by a forest, without forming its pairs, and no link between components is lost.
+fetched. Groups are compared in tiles of bounded size. The first round takes, within each block of a group, every pair
+that sizes and sketches allow, or, where these are more than a few for each node, a spanning forest of the closest. Only such crowds and
+groups of several blocks see two more rounds: a forest between the components that are left, then every such pair between components.
+A crowd of near copies is so linked by a forest, without forming its pairs, and no link between components is lost.
 Verification is exact, on the whole sets of 64-bit shingle hashes, as a JVM-side array intersection.
 
 Defined results: null and empty texts, and those without words, have 0 shingles and link with nothing;
@@ -57,6 +57,8 @@ BITMAP_BITS = 23
 SKETCH_BITS = 2
 #: Nodes of a block of a group; a tile compares two blocks at most.
 TILE = 512
+#: Likely pairs that a tile sends for each of its nodes before it falls back to a spanning forest: in the first round, in the second.
+PAIRS_A_NODE = (2, 8)
 #: Words of sketches that are compared at once.
 PAIR_WORDS = 1 << 20
 
@@ -287,11 +289,15 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, label: np.ndarray)
     return np.concatenate(taken) if taken else np.zeros(0, np.int64)
 
 
-def _tile_pairs(tiles: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
-    """Pairs of whole tiles that neither sizes nor sketches rule out, between components; with ``forest`` a spanning forest of the closest."""
+def _tile_pairs(tiles: pd.DataFrame, percent: int, few: int | None) -> pd.DataFrame:
+    """Pairs of whole tiles that neither sizes nor sketches rule out, between components.
+
+    Tiles that have more than ``few`` such pairs a node (None: any number is few) send a spanning forest of the closest, and
+    a row that names their group instead of a pair.
+    """
     tiles = tiles.sort_values(["tile", "n_shingles"], kind="stable").reset_index(drop=True)
     tile = np.unique(tiles["tile"].to_numpy(), return_inverse=True)[1].astype(np.int64)
-    n, node, component, minor = (tiles[c].to_numpy() for c in ("n_shingles", "node", "component", "minor"))
+    n, node, doc, component, minor = (tiles[c].to_numpy() for c in ("n_shingles", "node", "doc", "component", "minor"))
     far = np.int64(n.max() + 1) if len(n) else np.int64(1)
     place = tile * far + n
     most = np.minimum(100 * n // percent, far - 1)  # the largest partner, since rows of a tile come by size
@@ -311,14 +317,21 @@ def _tile_pairs(tiles: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame
         found.append((i[ok], j[ok], apart[ok]))
         lo = hi
     i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    if forest and len(i):
+    dense = np.zeros(0, np.int64)
+    if few is not None and len(i):
+        many = np.bincount(tile[i], minlength=tile[-1] + 1) > few * np.bincount(tile)
+        full = many[tile[i]]
         classes = np.unique(np.stack([tile, component]), axis=1, return_inverse=True)[1].ravel()
-        best = _forest(i, j, apart / (n[i] + n[j]), classes)
-        i, j = i[best], j[best]
-    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+        best = np.flatnonzero(full)[_forest(i[full], j[full], (apart / (n[i] + n[j]))[full], classes)]
+        dense = tiles["group"].to_numpy()[np.searchsorted(tile, np.flatnonzero(many))]
+        i, j = (np.r_[x[~full], x[best]] for x in (i, j))
+    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+    none = np.zeros(len(dense), np.int64)
+    ends = {name: np.r_[of[at], none] for name, of, at in (("a", node, i), ("b", node, j), ("doc_a", doc, i), ("doc_b", doc, j))}
+    return pd.DataFrame({"group": np.r_[np.zeros(len(i), np.int64), dense], "pair": np.arange(len(i) + len(dense)) < len(i), **ends})
 
 
-def _compared(percent: int, forest: bool):
+def _compared(percent: int, few: int | None):
     """Over a partition whose rows come ordered by tile."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,10 +345,10 @@ def _compared(percent: int, forest: bool):
             rows = pd.concat(held, ignore_index=True)
             whole = int(np.searchsorted((rows["tile"] == rows["tile"].iloc[-1]).to_numpy(), True))  # the last tile may go on
             if whole:
-                yield _tile_pairs(rows.iloc[:whole], percent, forest)
+                yield _tile_pairs(rows.iloc[:whole], percent, few)
             held = [rows.iloc[whole:]]
         if held:
-            yield _tile_pairs(pd.concat(held, ignore_index=True), percent, forest)
+            yield _tile_pairs(pd.concat(held, ignore_index=True), percent, few)
 
     return run
 
@@ -350,29 +363,40 @@ def _groups(postings: DataFrame) -> DataFrame:
     part = F.shiftright(F.xxhash64("node"), 32)
     lists = postings.select("node", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"), F.xxhash64(F.sum(part).over(w), F.count("*").over(w)).alias("sig"))
     shared = cut(lists.where("least <> most").select(F.xxhash64("sig", "least", "most").alias("list"), "node", "least").distinct())
-    one_by_one = shared.groupBy("least", "list").agg(F.count("*").cast("double").alias("n")).groupBy("least").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    stars = shared.select("least", "node").distinct()
+    by_least = shared.repartition("least")  # one exchange serves all that follows
+    one_by_one = by_least.groupBy("least", "list").agg(F.count("*").cast("double").alias("n")).groupBy("least").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    stars = by_least.select("least", "node").distinct()
     wide = stars.groupBy("least").agg(F.count("*").cast("double").alias("n")).join(one_by_one, "least").where("n * n > pairs").select("least")
     together = stars.join(wide, "least", "left_anti").select(F.xxhash64(F.lit(0), "least").alias("group"), "node")
-    return cut(together.union(shared.join(wide, "least", "left_semi").select(F.xxhash64(F.lit(1), "list"), "node")))
+    return together.union(by_least.join(wide, "least", "left_semi").select(F.xxhash64(F.lit(1), "list"), "node"))
+
 
+def _may_meet(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (group, node, doc, n_shingles) without nodes that no other of their group is near enough in size."""
+    by_size = Window.partitionBy("group").orderBy("n_shingles", "node")
+    near = lambda less, more: F.coalesce(100 * less >= percent * more, F.lit(False))
+    n = F.col("n_shingles")
+    marked = rows.withColumn("near", near(F.lag(n).over(by_size), n) | near(n, F.lead(n).over(by_size)))
+    return marked.where("near").drop("near")
 
-def _candidates(rows: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs to verify, from ``rows`` (node, component, minor) of the tiles (group, part, other)."""
-    dealt = rows.select(F.xxhash64("group", "part", "other").alias("tile"), "node", "component", "minor").join(sketches, "node")
+
+def _candidates(rows: DataFrame, members: DataFrame, percent: int, few: int | None) -> DataFrame:
+    """(group, pair, a, b, doc_a, doc_b) from ``rows`` (group, node, doc, n_shingles, component, minor) of the tiles (group, part, other)."""
+    sketches = likely_members(members.select("node", "sketch"), rows, "node").dropDuplicates(["node"])
+    dealt = rows.withColumn("tile", F.xxhash64("group", "part", "other")).drop("part", "other").join(sketches, "node")
     ordered = dealt.repartition("tile").sortWithinPartitions("tile")
-    return ordered.mapInPandas(_compared(percent, forest), "a long, b long").distinct()
+    return cut(ordered.mapInPandas(_compared(percent, few), "group long, pair boolean, a long, b long, doc_a long, doc_b long"))
 
 
 def _within(rows: DataFrame) -> DataFrame:
-    """``rows`` (group, node) of groups with blocks of about TILE nodes, each a tile of its own."""
+    """``rows`` (group, node, doc, n_shingles) of groups in blocks of about TILE nodes, each a tile of its own."""
     blocks = rows.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     whole = rows.join(blocks, "group").withColumns({"component": F.col("node"), "minor": F.lit(True)})
     return whole.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "other": F.lit(0)})
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """``rows`` (group, node, component) of the groups that hold several components, dealt to tiles.
+    """``rows`` (group, node, doc, n_shingles, component) of the groups that hold several components, dealt to tiles.
 
     All but a group's largest component are its minor nodes. They go in parts of about TILE to every block of the
     group, and every node to each part: any two nodes of different components meet in a tile, and a crowd of one
@@ -387,19 +411,19 @@ def _across(rows: DataFrame) -> DataFrame:
     as_any = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.cast("long").alias("part"), own_block.alias("other")))
     as_minor = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(own_part.alias("part"), b.cast("long").alias("other")))
     tiles = F.when(F.col("minor"), F.array_union(as_any, as_minor)).otherwise(as_any)
-    return marked.select("group", "node", "component", "minor", F.explode(tiles).alias("t")).select("group", "node", "component", "minor", "t.part", "t.other")
+    kept = ["group", "node", "doc", "n_shingles", "component", "minor"]
+    return marked.select(*kept, F.explode(tiles).alias("t")).select(*kept, "t.part", "t.other")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity; each set is made again from one document that holds it."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = cut(nodes.join(wanted, "node").select(F.col("doc").alias("doc_id")))
+def _similar(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs in ``found`` whose whole sets reach the similarity; each set is made again from one document that holds it."""
+    pairs = found.where("pair").select("a", "b", "doc_a", "doc_b").distinct()
+    ids = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b"))
     chosen = likely_members(rows, ids, "doc_id").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
     sets = chosen.mapInPandas(_full_sets, "node long, tokens array<long>")  # one exchange serves both joins
     of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
-    return cut(both.where(100 * F.col("shared") >= percent * (F.size("t_a") + F.size("t_b") - F.col("shared"))).select("a", "b").distinct())
+    return cut(both.where(100 * F.col("shared") >= percent * (F.size("t_a") + F.size("t_b") - F.col("shared"))).select("a", "b"))
 
 
 def link_components(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,24 +434,28 @@ def link_components(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     members = cut(rows.select("doc_id", described("text").alias("m")).select("doc_id", "m.*"))
     named = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     rows, worded = rows.where("doc_id is not null"), members.where(named)
-    nodes = cut(worded.groupBy("node").agg(F.min("doc_id").alias("doc")))
+    nodes = cut(worded.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles")))
     texts = rows.select("text")
     bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts))
     met = _groups(texts.mapInPandas(_postings(bitmap, percent), "key long, node long"))
-    sketches = likely_members(worded.select("node", "n_shingles", "sketch"), met, "node").dropDuplicates(["node"])
-    first = _candidates(_within(met), sketches, percent, True)
-    linked = _similar(first, rows, nodes, percent)
-    groups = components(linked)
-    for forest in (True, False):  # links across components: first the likeliest, then whatever is left
-        grouped = met.join(groups, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-        across = cut(_across(grouped))
+    tiles = cut(_within(_may_meet(met.join(nodes, "node"), percent)))
+    found = _candidates(tiles, worded, percent, PAIRS_A_NODE[0])
+    groups = components(_similar(found, rows, percent))
+    # groups of several blocks, and those that sent a forest only, may have links left between components
+    again = tiles.select("group", "node", "doc", "n_shingles")
+    dense = found.where("not pair").select("group").union(tiles.where("blocks > 1").select("group")).distinct()
+    for few in (PAIRS_A_NODE[1], None):  # where there are many, first the likeliest, then whatever is left
+        again = again.join(dense, "group", "left_semi")
+        across = cut(_across(again.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))))
         if across.isEmpty():
             break
-        few = likely_members(worded.select("node", "n_shingles", "sketch"), across, "node").dropDuplicates(["node"])
-        more = _similar(_candidates(across, few, percent, forest), rows, nodes, percent)
+        found = _candidates(across, worded, percent, few)
+        more = _similar(found, rows, percent)
         if not more.isEmpty():
-            linked = linked.union(more)
-            groups = components(linked)
+            groups = components(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        dense = found.where("not pair").select("group").distinct()
+        if few is None or dense.isEmpty():
+            break
     placed = nodes.join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_node = placed.join(smallest, "component").select("node", "component_id")
