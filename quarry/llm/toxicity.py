@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ DISCOUNT = 0.75
 #: Weight of the shared distribution in every context, in counts.
 SHARED = 50.0
 #: Steps whose value is nearer to 0 in every model, in nats, are left out of the table.
-PRUNE = 0.05
+PRUNE = 0.25
 #: Steps that are broadcast at most.
 HEAD = 1 << 20
 #: log2 of the bits of the bitmap of all other steps.
@@ -150,17 +151,17 @@ def step_values(words: DataFrame) -> DataFrame:
     steps = steps.groupBy("context", "step", "piece").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(4)])
     of = lambda m, c: sum((F.col(f"n{s}") for s in _MODELS[m][c][1:]), F.col(f"n{_MODELS[m][c][0]}"))
     met = lambda n: F.sum((n > 0).cast("long"))
-    level = F.shiftright("piece", 17).alias("level")
     # at most 257 pieces a level and 2**16 of the last
-    pieces = steps.groupBy("piece", level).agg(*[met(of(m, 0) + of(m, 1)).alias(f"p{m}") for m in range(3)])
-    levels = pieces.groupBy("level").agg(*[F.sum(f"p{m}").alias(f"all{m}") for m in range(3)])
-    shared = pieces.join(F.broadcast(levels), "level").select("piece", *[((F.col(f"p{m}") + 0.5) / (F.col(f"all{m}") + 1)).alias(f"p{m}") for m in range(3)])
+    pieces = steps.groupBy("piece").agg(*[met(of(m, 0) + of(m, 1)).alias(f"p{m}") for m in range(3)]).toArrow().to_pandas()
+    counts = pieces[["p0", "p1", "p2"]]
+    pieces[["p0", "p1", "p2"]] = (counts + 0.5) / (counts.groupby(pieces["piece"].to_numpy(np.int64) >> 17).transform("sum") + 1)
+    shared = words.sparkSession.createDataFrame(pa.Table.from_pandas(pieces.astype({"piece": np.int64, **{f"p{m}": float for m in range(3)}}), preserve_index=False))
     w = Window.partitionBy("context")
     sums = {}
     for m in range(3):
         a, b = of(m, 0), of(m, 1)
         sums |= {f"s{m}0": F.sum(a).over(w), f"s{m}1": F.sum(b).over(w), f"t{m}0": met(a).over(w), f"t{m}1": met(b).over(w), f"t{m}": met(a + b).over(w)}
-    whole = steps.withColumns(sums | {"first": F.row_number().over(w.orderBy("step")) == 1}).join(F.broadcast(shared), "piece")
+    whole = steps.withColumns(sums | {"first": F.col("step") == F.min("step").over(w)}).join(F.broadcast(shared), "piece")
     values, freed = [], []
     for m in range(3):
         n = [of(m, 0), of(m, 1)]
