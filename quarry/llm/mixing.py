@@ -64,12 +64,12 @@ def described(text: Column) -> Column:
     """(tokens, features): the number of words, and the buckets of the distinct words and characters."""
     low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
 
-    def of(words: Column) -> Column:
-        parts = F.concat(F.array_distinct(words), F.array_distinct(F.transform(F.array_distinct(F.split(F.array_join(words, ""), "")), lambda c: F.concat(F.lit(" "), c))))
-        found = F.transform(parts, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-        return F.struct(F.size(words).cast("long").alias("tokens"), F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<int>")).alias("features"))
+    def features(distinct: Column) -> Column:
+        characters = F.transform(F.array_distinct(F.split(F.array_join(distinct, ""), "")), lambda c: F.concat(F.lit(" "), c))
+        found = F.transform(F.concat(distinct, characters), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+        return F.when(F.size(distinct) > 0, found).otherwise(F.array().cast("array<int>"))
 
-    return _let(_words(low), of)
+    return _let(_words(low), lambda words: F.struct(F.size(words).cast("long").alias("tokens"), _let(F.array_distinct(words), features).alias("features")))
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,14 @@ class Classifier:
         if not k:
             return F.array().cast("array<double>")
         numbers = lambda xs: F.split(F.lit(",".join(f"{x:.5g}" for x in xs)), ",").cast("array<double>")
-        table_, none = numbers(self.weights), numbers([0.0] * k)
-        summed = F.aggregate(features, none, lambda acc, b: F.zip_with(acc, F.slice(table_, b * k + 1, k), lambda x, y: x + y))
-        share = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size(features), F.lit(1)))
-        joint = _let(share, lambda s: F.zip_with(summed, numbers(self.prior), lambda x, p: x * s + p))
-        odds = _let(joint, lambda j: F.transform(j, lambda x: F.exp(x - F.array_max(j))))
+        by_domain = F.array(*[numbers(self.weights[i::k]) for i in range(k)])  # one constant in the plan
+
+        def joint(found: Column) -> Column:
+            share = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size(found), F.lit(1)))
+            summed = F.transform(by_domain, lambda w: F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(w, b)))
+            return _let(share, lambda s: F.zip_with(summed, numbers(self.prior), lambda x, p: x * s + p))
+
+        odds = _let(_let(features, joint), lambda j: F.transform(j, lambda x: F.exp(x - F.array_max(j))))
         return _let(odds, lambda o: F.transform(o, lambda x: F.round(x / F.aggregate(o, F.lit(0.0), lambda a, y: a + y) * GRID) / GRID))
 
     def best(self, post: Column) -> Column:
@@ -123,8 +126,7 @@ def _rate(residuals: list[list[float]], most: float) -> Column:
     """The rate after a history of scaled residuals, each step projected onto rates from 0 to ``most``, as a function of ``post``."""
     if not residuals:
         return F.lit(1.0)
-    flat = F.split(F.lit(";".join(",".join(map(repr, r)) for r in residuals)), ";")
-    history = F.transform(flat, lambda s: F.split(s, ",").cast("array<double>"))
+    history = F.array(*[F.array(*map(F.lit, r)) for r in residuals])  # one constant in the plan
     dot = lambda g: F.aggregate(F.zip_with("post", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
     return F.aggregate(history, F.lit(1.0), lambda rate, g: F.least(F.lit(most), F.greatest(F.lit(0.0), rate - dot(g))))
 
