@@ -46,9 +46,12 @@ def bm25(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "cont
     """
     wanted = query_terms(query)
     words = terms(F.coalesce(text, F.lit("")), parts)
-    counted = chunks.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    hits = counted.where(F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(wanted))]) > 0).crossJoin(F.broadcast(stats))  # stats: one row
+    count = lambda w: F.struct(F.size(w).alias("dl"), *[F.size(F.filter(w, _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    # an array of one, so that the words are made once for a row however many terms are counted in them
+    counted = F.transform(F.array(words), count)
+    stats = chunks.select(F.inline(counted)).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    found = F.filter(counted, lambda c: F.greatest(F.lit(0), F.lit(0), *[c[f"tf{i}"] for i in range(len(wanted))]) > 0)
+    hits = chunks.select(key, F.inline(found)).crossJoin(F.broadcast(stats))  # stats: one row
     raw = F.lit(0.0)
     for i in range(len(wanted)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")

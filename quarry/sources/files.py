@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ignore import expand_gitignore, kept
+from .ignore import expand_gitignore, kept, shut
 
-FILES = "file_path string, mtime double, raw binary"
+FILES = "file_path string, mtime double"
 GIT_SECONDS = 10
+#: Bytes of file contents that a task holds before it hands them on.
+HELD_BYTES = 16 << 20
 
 
 def is_git(root: str) -> bool:
@@ -31,22 +36,44 @@ def git_paths(root: str, extensions: Sequence[str]) -> list[str] | None:
     return [str(Path(root) / n) for n in names if n and (Path(root) / n).is_file()]
 
 
+def _folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands in each folder; names that cannot be read are left out."""
+    for batch in batches:
+        rows = []
+        for folder in batch["folder"]:
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        try:
+                            below = e.is_dir(follow_symlinks=False)
+                            if below or e.is_file():
+                                rows.append((e.path, below, None if below else e.stat().st_mtime))
+                        except OSError:
+                            continue
+            except OSError:
+                continue
+        yield pd.DataFrame(rows, columns=["file_path", "is_folder", "mtime"]).astype({"is_folder": bool, "mtime": float})
+
+
 def walk(spark: SparkSession, root: str, extensions: Sequence[str], ignore: Sequence[str] = (), use_gitignore: bool = True) -> DataFrame:
-    """Every file below ``root`` that no rule excludes: file_path, mtime, raw."""
+    """Every file below ``root``, a path that all executors see, that no rule excludes: file_path, mtime.
+
+    Folders are listed in tasks, level by level, and those that a rule excludes are never entered.
+    """
     patterns = list(ignore)
     if use_gitignore:
         patterns += gitignore(root)
-    # hidden folders and those that begin with an underscore are left out by the reader itself
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(extensions) + "}").load(root)
-    base = f"file:{Path(root).resolve()}/" if "://" not in root else root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^file:/+", "file:/")
-    named = read.select(rel.alias("uri"), _seconds(), F.col("content").alias("raw"))
-    local = named.withColumn("rel_path", F.expr(f"substring(uri, {len(base) + 1})")).withColumn("file_path", F.regexp_replace("uri", "^file:", ""))
-    return kept(local, extensions, patterns).select("file_path", "mtime", "raw")
-
-
-def _seconds():
-    return (F.unix_millis("modificationTime") / 1000.0).alias("mtime")
+    root = str(Path(root).resolve())
+    rel = F.expr(f"substring(file_path, {len(root.rstrip('/')) + 2})")
+    level, found = spark.createDataFrame([(root,)], "folder string"), spark.createDataFrame([], FILES)
+    while True:
+        below = level.mapInPandas(_folders, "file_path string, is_folder boolean, mtime double").withColumn("rel_path", rel).persist()
+        found = found.union(kept(below.where("not is_folder"), extensions, patterns).select("file_path", "mtime"))
+        folders = below.where("is_folder").where(~shut(F.col("rel_path"), patterns)).select(F.col("file_path").alias("folder"))
+        n = folders.count()
+        if not n:
+            return found
+        level = folders.repartition(min(n, spark.sparkContext.defaultParallelism))
 
 
 def gitignore(root: str) -> list[str]:
@@ -56,16 +83,40 @@ def gitignore(root: str) -> list[str]:
         return []
 
 
+def _stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path in batch["file_path"]:
+            with contextlib.suppress(OSError):
+                rows.append((path, os.stat(path).st_mtime))
+        yield pd.DataFrame(rows, columns=["file_path", "mtime"]).astype({"mtime": float})
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows, held = [], 0
+        for path, mtime in zip(batch["file_path"], batch["mtime"], strict=True):
+            try:
+                raw = Path(path).read_bytes()
+            except OSError:
+                continue
+            rows.append((path, mtime, raw))
+            held += len(raw)
+            if held >= HELD_BYTES:
+                yield pd.DataFrame(rows, columns=["file_path", "mtime", "raw"])
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["file_path", "mtime", "raw"])
+
+
 def listed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The named files: file_path, mtime, raw."""
+    """The named files, whatever characters their names hold: file_path, mtime."""
     if not paths:
         return spark.createDataFrame([], FILES)
-    read = spark.read.format("binaryFile").load([f"file://{p}" for p in paths])
-    return read.select(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^file:/*", "/").alias("file_path"), _seconds(), F.col("content").alias("raw"))
+    return spark.createDataFrame([(p,) for p in paths], "file_path string").mapInPandas(_stats, FILES)
 
 
 def scan(spark: SparkSession, root: str, extensions: Sequence[str], ignore: Sequence[str] = (), use_gitignore: bool = True) -> DataFrame:
-    """The tree's files: as git lists them in a repository, else by walking with the ignore rules."""
+    """The tree's files, without their contents: as git lists them in a repository, else by walking with the ignore rules."""
     root = str(Path(root).resolve())
     if is_git(root) and (paths := git_paths(root, extensions)) is not None:
         return listed(spark, paths)
@@ -73,8 +124,12 @@ def scan(spark: SparkSession, root: str, extensions: Sequence[str], ignore: Sequ
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """file_path, mtime, content; content is null where the bytes are no UTF-8."""
-    return files.select("file_path", "mtime", F.try_validate_utf8(F.col("raw").cast("string")).alias("content"))
+    """file_path, mtime, content of ``files``; content is null where the bytes are no UTF-8.
+
+    Bytes come from a column ``raw`` if there is one, else from the files that are named; those that are gone are left out.
+    """
+    read = files if "raw" in files.columns else files.select("file_path", "mtime").mapInPandas(_contents, "file_path string, mtime double, raw binary")
+    return read.select("file_path", "mtime", F.try_validate_utf8(F.col("raw").cast("string")).alias("content"))
 
 
 def readable(files: DataFrame) -> DataFrame:

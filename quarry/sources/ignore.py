@@ -24,7 +24,7 @@ def expand_gitignore(lines: Iterable[str]) -> list[str]:
 
 def expanded(line: Column) -> Column:
     """``expand_gitignore`` for one line, as an array."""
-    rule = F.trim(line)
+    rule = F.regexp_replace(line, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     bare = F.regexp_replace(rule, "/$", "")
     pair = F.when(F.endswith(rule, F.lit("/")), F.array(F.concat(bare, F.lit("/**")), bare)).otherwise(F.array(rule, F.concat(F.lit("**/"), rule)))
     return F.when((rule == "") | F.startswith(rule, F.lit("#")), F.array().cast("array<string>")).otherwise(pair)
@@ -52,6 +52,11 @@ def pruned(path: Column, names: Iterable[str] = PRUNED) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, names)))
 
 
+def shut(folder: Column, patterns: Iterable[str] = ()) -> Column:
+    """Whether a folder's files are all excluded, so that it need not be entered."""
+    return F.element_at(F.split(folder, "/"), -1).isin(*PRUNED) | ignored(folder, patterns)
+
+
 def has_extension(path: Column, extensions: Iterable[str]) -> Column:
     return path.rlike(r"(?:" + "|".join(re.escape(e) for e in extensions) + r")$")
 

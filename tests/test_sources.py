@@ -42,6 +42,22 @@ def test_git_listing(spark, tree):
     assert _names(files.scan(spark, str(tree), EXT), tree) == ["a.py", "skip/g.py"]
 
 
+ODD_NAMES = ["__init__.py", "_pkg/c.py", "_x.py", "b[1].py", "q?{a,b}*.py", "a b%20+é.py"]
+
+
+@pytest.mark.parametrize("git", [False, True])
+def test_names_that_readers_take_for_hidden_or_for_patterns(spark, tmp_path, git):
+    for name in [*ODD_NAMES, "node_modules/deep/x.py", "build/y.py"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    if git:
+        subprocess.run(["git", "init", "-q"], cwd=tmp_path, check=True, capture_output=True)
+        subprocess.run(["git", "add", "-f", "--", *ODD_NAMES], cwd=tmp_path, check=True, capture_output=True)
+    found = files.scan(spark, str(tmp_path), EXT, ["build"])
+    assert _names(found, tmp_path) == sorted(ODD_NAMES)
+    assert {os.path.relpath(r.file_path, tmp_path): r.content for r in files.readable(found).collect()} == {n: f"# {n}\n" for n in ODD_NAMES}
+
+
 def test_bad_bytes_are_quarantined(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"\xff\xfe")
     (tmp_path / "b.py").write_bytes("é\r\n".encode())
@@ -49,6 +65,13 @@ def test_bad_bytes_are_quarantined(spark, tmp_path):
     assert _names(files.readable(found), tmp_path) == ["b.py"] and _names(files.quarantined(found), tmp_path) == ["a.py"]
 
 
+def test_both_forms_of_ignore_rules_agree(spark):
+    lines = ["a", " b/ ", "\tc\t", "d\r", "#e", "", " \t\r", "f g", "\x1ch\x85"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r.i: r.e for r in df.select("i", ignore.expanded(F.col("line")).alias("e")).collect()}
+    assert [got[i] for i in range(len(lines))] == [ignore.expand_gitignore([x]) for x in lines]
+
+
 def test_ignore_agrees_with_fnmatch(spark):
     patterns = ["build/**", "build", "*.pyc", "**/*.log", "d[ab]c", "x?z", "a.b"]
     paths = ["build/x/y.py", "src/build/x.py", "a.pyc", "q/r.log", "dac", "dcc/f", "xyz/a.py", "a.b/c", "axb", "new\nline.pyc"]
