@@ -6,14 +6,13 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, langid, mixing, ngram_join, secrets
-from quarry.llm.common import held_out, table
+from quarry.llm.common import held_out, shared_folder, table
 from quarry.session import ship
 
 #: Posterior below which a document's language counts as undetermined.
@@ -50,12 +49,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated until the domains' tokens match the target weights; none is thinned out."""
+    """Documents are repeated until the domains' tokens match the target weights; none is thinned out, rows with null ids or texts stay."""
     return mixing.mix(docs, table(spark, sf_dir, "labels"), mixing.TARGETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document, with digests of the ids and of what they decode to."""
+    """Tokens of each document, with digests of the ids and of what they decode to; a null text has none."""
     ship(spark)
     digest = bpe.digests(F.col("text"), spark, bpe.Vocabulary())
     return docs.select("doc_id", "lang", "source", digest.alias("d")).select("doc_id", "lang", "source", "d.*")
@@ -76,10 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; stage outputs lie in the shared folder that the session names."""
     docs = table(spark, sf_dir, "documents")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
