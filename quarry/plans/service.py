@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -16,6 +16,7 @@ from quarry.functions.embed import EmbeddingProvider, HashingProvider, embedded
 from quarry.operators import fts, ranking, store
 from quarry.operators import manifest as m
 from quarry.operators.chunks import Registry, default_registry, valid
+from quarry.plans import observe, response
 from quarry.session import ship
 from quarry.sources import files as sources
 from quarry.sources.settings import Settings, index_path
@@ -66,6 +67,7 @@ class SearchEngine:
         if not Path(project).exists():
             raise MissingPath(project)
         self.settings = settings or Settings()
+        self.log = observe.logger(self.settings.debug)
         self.provider = provider or HashingProvider()
         self.registry = registry or default_registry()
         self.store = store.Store(spark, index or index_path(project, self.settings))
@@ -75,6 +77,13 @@ class SearchEngine:
 
     def index(self, force: bool = False, progress: Progress | None = None) -> IndexResult:
         """Bring the store up to date with the tree: one commit of chunks, manifest and keyword index."""
+        observe.say(self.log, "index_started", project=self.project, force=force)
+        with observe.profiled("index", self.settings.profile):
+            done = self._index(force, progress)
+        observe.say(self.log, "index_finished", **asdict(done))
+        return done
+
+    def _index(self, force: bool, progress: Progress | None) -> IndexResult:
         began, tell = time.perf_counter(), progress or (lambda *_: None)
         tell(5, 100, "scanning files")
         files = self.files()
@@ -119,9 +128,15 @@ class SearchEngine:
 
         ``file_pattern`` (a regular expression over paths) and ``include_deleted=False`` are extensions.
         """
-        began, tell = time.perf_counter(), progress or (lambda *_: None)
         if limit < 0:
             raise ValueError("limit must be at least 0")
+        with observe.profiled("search", self.settings.profile):
+            found = self._search(query, limit, min_score, vector_weight, now, progress, file_pattern, include_deleted)
+        observe.say(self.log, "search_finished", query=query, raw=found.raw_count, filtered=found.filtered_count, total_ms=found.total_ms)
+        return found
+
+    def _search(self, query: str, limit: int, min_score: float, vector_weight: float, now: float | None, progress: Progress | None, file_pattern: str | None, include_deleted: bool) -> SearchOutcome:
+        began, tell = time.perf_counter(), progress or (lambda *_: None)
         tell(5, 100, "checking the index")
         state = self.status()
         indexed = IndexResult()
@@ -151,6 +166,15 @@ class SearchEngine:
         tell(100, 100, "done")
         return SearchOutcome(results, raw, raw - left, indexed, round(embedding_ms, 1), round((end - t) * 1000, 1), round((end - began) * 1000, 1))
 
+    def respond(self, query: str, limit: int = 10, **options) -> str:
+        """The full answer to a search as JSON; ``options`` as for ``search``."""
+        began = time.perf_counter()
+        found = self.search(query, limit, **options)
+        counts = store.stats(self.store.chunks).first()
+        run = found.index_result
+        times = {"embedding_ms": found.embedding_ms, "search_ms": found.search_ms, "total_ms": (time.perf_counter() - began) * 1000, "indexing_ms": run.duration_seconds * 1000 if run.files_indexed else 0.0}
+        return response.search_response(found.results, found.filtered_count, times, run.files_indexed, run.chunks_indexed, counts["files_count"], counts["chunks_count"]).first()["response"]
+
     def find_similar(self, chunk_id: str, limit: int = 10) -> DataFrame:
         """Extension: the chunks nearest to a stored one."""
         row = self.store.chunks.where(F.col("chunk_id") == chunk_id).select("vector").first()
@@ -161,9 +185,16 @@ class SearchEngine:
     def _vector_leg(self, chunks: DataFrame, vector: list[float], limit: int) -> DataFrame:
         asked = F.lit(",".join(map(repr, vector)))
         score = vectors.cosine_score(F.col("vector"), F.split(asked, ",").cast("array<double>"))
-        return ranking.top(chunks.withColumn("score", score), limit, F.desc("score"), "file_path", "line_start", "chunk_id").select("file_path", "line_start", *PAYLOAD, "score", "rank")
+        scored = chunks.select("chunk_id", "file_path", "line_start", score.alias("score"))
+        return self._with_payload(chunks, ranking.top(scored, limit, F.desc("score"), "file_path", "line_start", "chunk_id"))
 
     def _keyword_leg(self, chunks: DataFrame, query: str, limit: int) -> DataFrame:
         raw = fts.bm25_indexed(self.store.postings, self.store.lengths, query)
-        scored = chunks.join(raw, "chunk_id").withColumn("score", fts.keyword_score("raw"))
-        return ranking.top(scored, limit, F.desc("score"), F.desc("raw"), "file_path", "line_start", "chunk_id").select("file_path", "line_start", *PAYLOAD, "score", "rank")
+        scored = chunks.select("chunk_id", "file_path", "line_start").join(raw, "chunk_id").withColumn("score", fts.keyword_score("raw"))
+        return self._with_payload(chunks, ranking.top(scored, limit, F.desc("score"), F.desc("raw"), "file_path", "line_start", "chunk_id"))
+
+    @staticmethod
+    def _with_payload(chunks: DataFrame, best: DataFrame) -> DataFrame:
+        """The ranked chunks, at most the limit, with their contents."""
+        ranked = F.broadcast(best.select("chunk_id", "file_path", "line_start", "score", "rank"))
+        return chunks.select("chunk_id", *PAYLOAD).join(ranked, "chunk_id").select("file_path", "line_start", *PAYLOAD, "score", "rank")

@@ -22,8 +22,11 @@ def test_response_is_json(spark):
     (row,) = registry.QUERIES["search_response"](spark, FOLDER).collect()
     got = json.loads(row["response"])
     assert [r["place"] for r in got["results"]] == list(range(1, len(got["results"]) + 1))
-    assert got["stats"]["results_count"] == len(got["results"])
-    assert got["timings"]["indexing_ms"] is None and got["index_status"]["was_stale"] is False
+    debug = got["debug"]
+    assert debug["stats"]["results_count"] == len(got["results"])
+    assert debug["timings"]["indexing_ms"] is None
+    assert debug["index_status"] == {"files_count": 0, "chunks_count": 0, "was_stale": False}
+    assert debug["index_result"] == {"files_indexed": 0, "chunks_indexed": 0}
 
 
 def test_entry_and_keys():

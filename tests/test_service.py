@@ -1,5 +1,7 @@
 """Index, search and status of a small project, end to end."""
 
+import io
+import json
 import os
 import time
 
@@ -10,6 +12,7 @@ from quarry.functions.embed import HashingProvider, embedded
 from quarry.functions.vectors import hashed
 from quarry.operators.chunks import default_registry
 from quarry.operators.store import Store
+from quarry.plans import observe
 from quarry.plans.service import MissingPath, SearchEngine
 from quarry.sources.settings import Settings
 from quarry.streaming.ingest import ingest
@@ -56,6 +59,26 @@ def test_life_cycle(spark, project, tmp_path):
     assert engine.status().chunks_count == 0
 
 
+def test_response_logs_and_profiles(spark, project, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    calls, said = [], io.StringIO()
+    engine = SearchEngine(spark, str(project), Settings(profile=True), index=str(tmp_path / "index"))
+    before = observe.HANDLER.setStream(said)
+    got = json.loads(engine.respond("read_config", 2, progress=lambda done, of, what: calls.append((done, of, what))))
+    debug = got["debug"]
+    assert debug["index_status"] == {"files_count": 2, "chunks_count": 6, "was_stale": True}
+    assert debug["index_result"] == {"files_indexed": 2, "chunks_indexed": 6} and debug["timings"]["indexing_ms"] > 0
+    assert got["results"][0]["name"] in ("read_config", "run") and debug["stats"]["results_count"] == len(got["results"])
+    assert calls[0][0] < calls[-1][0] == calls[-1][1] == 100
+    again = json.loads(engine.respond("read_config", 2))["debug"]
+    assert again["index_status"]["was_stale"] is False and again["timings"]["indexing_ms"] is None
+    assert engine.status().response()["files_count"] == 2 and engine.index().files_indexed == 0
+    assert {p.name.split("-")[0] for p in (tmp_path / "profiles").iterdir()} == {"index", "search"}
+    observe.HANDLER.setStream(before)
+    events = [json.loads(x)["event"] for x in said.getvalue().splitlines()]
+    assert events == ["index_started", "index_finished", "search_finished", "search_finished", "index_started", "index_finished"]
+
+
 def test_missing_path(spark, tmp_path):
     with pytest.raises(MissingPath):
         SearchEngine(spark, str(tmp_path / "none"))
